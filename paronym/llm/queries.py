@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .marks import MARKS, folded_pairs, plain_marks, usable_pairs
+from .cross_split import overlaps
+from .grouped_split import related_groups, split_groups
+from .marks import folded_pairs, plain_marks, usable_pairs
+from .mixing import Mix, mix_sources
 from .multiset_duplicates import duplicate_groups
-from .plain_form import terms
+from .packing import pack_items
+from .plain_form import folded, plain_forms, terms
 from .term_counts import band, count_terms
+from .text_quality import document_statistics, flag_tails
+from .tokens import token_count
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,4 +49,99 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_groups(spark, folder).where("pair_id <> pair_id_primeiro").select("pair_id_primeiro", F.col("pair_id").alias("pair_id_copia"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_plain, p5_found, p5_groups)}
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """``(record, mark)``: the folded marks of the usable pairs and of the watched marks."""
+    pairs = plain_marks(spark, folder).select(F.col("pair_id").alias("record"), folded(F.col("plain")).alias("mark"))
+    watched = plain_forms(table(spark, folder, "carteira"), ["carteira_id"], ["marca_monitorada"])
+    return pairs.unionByName(watched.select(F.col("carteira_id").alias("record"), folded(F.col("plain")).alias("mark")))
+
+
+def _related(spark: SparkSession, folder: str) -> DataFrame:
+    return related_groups(_records(spark, folder), "record", "mark")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = usable_pairs(spark, folder).select("pair_id")
+    found = _related(spark, folder).join(pairs, F.col("record") == F.col("pair_id"), "left_semi")
+    return found.where("record <> group").select(F.col("group").alias("grupo_id"), F.col("record").alias("pair_id"))
+
+
+def p1_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable pair with its group and split."""
+    pairs = usable_pairs(spark, folder).select("pair_id", "label")
+    rows = _related(spark, folder).join(pairs, F.col("record") == F.col("pair_id")).select("pair_id", "group", "label")
+    done = split_groups(rows, "pair_id", "group", "label", {"treino": 0.70, "validacao": 0.15, "teste": 0.15})
+    return done.select(F.col("record").alias("pair_id"), F.col("group").alias("grupo_id"), "split")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = _overlaps(spark, folder)
+    return found.select(F.least("train_key", "other_key").alias("pair_id_a"), F.greatest("train_key", "other_key").alias("pair_id_b"))
+
+
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = folded_pairs(spark, folder).join(table(spark, folder, "divisao").select("pair_id", "split"), "pair_id")
+    return overlaps(pairs, "pair_id", "a", "b", "split", "treino")
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps with treino by split and fonte of the evaluated pair: links, pairs concerned, equal ones, links whose labels disagree."""
+    facts = usable_pairs(spark, folder).select("pair_id", "fonte", "label").join(table(spark, folder, "divisao").select("pair_id", "split"), "pair_id")
+    other = facts.select(F.col("pair_id").alias("other_key"), "split", "fonte", F.col("label").alias("own"))
+    train = facts.select(F.col("pair_id").alias("train_key"), F.col("label").alias("its"))
+    linked = _overlaps(spark, folder).join(other, "other_key").join(train, "train_key")
+    per_pair = linked.groupBy("split", "fonte", "other_key").agg(F.count("*").alias("n"), F.sum((F.col("edits") == 0).cast("int")).alias("e"), F.sum((~F.col("own").eqNullSafe(F.col("its"))).cast("int")).alias("d"))
+    return per_pair.groupBy("split", "fonte").agg(F.sum("n").alias("ligacoes"), F.count("*").alias("pares"), F.sum("e").alias("iguais"), F.sum("d").alias("rotulos_diferentes"))
+
+
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, or piece of one, in its container."""
+    packed = pack_items(_sized(spark, folder), "doc_id", "tokens", capacity=4096)
+    return packed.select("container", F.col("key").cast("bigint").alias("doc_id"), F.col("piece").alias("parte"), "tokens", F.col("filled").alias("ocupado"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that had to be cut."""
+    return p7_containers(spark, folder).where("parte = 1").select("doc_id")
+
+
+def _mix(spark: SparkSession, folder: str) -> Mix:
+    targets = table(spark, folder, "mistura_alvo").select("source", "peso_alvo", "max_repeticoes")
+    return mix_sources(_sized(spark, folder), "doc_id", "tokens", "source", targets)
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source's target and the share that the mix gives it."""
+    return _mix(spark, folder).report
+
+
+def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents and how often each is used."""
+    return _mix(spark, folder).selection.select(F.col("key").alias("doc_id"), "source", F.col("uses").alias("vezes"), "tokens")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_report(spark, folder).where("short").select("source")
+
+
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every document, its place in its language's distribution, and whether it is prose."""
+    made = flag_tails(document_statistics(table(spark, folder, "documents"), "doc_id", "text", "lang"))
+    return made.withColumnRenamed("key", "doc_id")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_statistics(spark, folder).where("not prose").select("doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_split, p3_found, p3_counts, p4_found, p4_plain, p5_found, p5_groups, p6_found, p6_report,
+        p7_found, p7_containers, p8_found, p8_report, p8_selection, p9_found, p9_statistics,
+    )
+}
