@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from . import packed_queries
+
+QUERIES: dict = {**packed_queries.QUERIES}
 SQL: dict[str, str] = {}
 FLAGSHIP = "heuristic_top_pairs"
