@@ -13,13 +13,14 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Candidates by name, as patterns that Java and Python read alike.
 CANDIDATES = {
     "semicolon": ";",
     "bar": "\\|",
     "tab": "\\t",
-    "line break": "[\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029]",
+    "line break": "\\r\\n|[\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029]",
     "bullet": "[\\u2022\\u2023\\u2043\\u2219\\u25aa\\u25ab\\u25cf\\u25e6]",
     "spaced slash": "(?<=[\\s\\u00a0])/(?=[\\s\\u00a0])",
     "spaced dash": "(?<=[\\s\\u00a0])[-\\u2013\\u2014](?=[\\s\\u00a0])",
@@ -64,7 +65,7 @@ def score_delimiters(df: DataFrame, source: str | None, fields: list[str], candi
         inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
         has, whole = F.size(pieces) > 1, F.size(F.filter(inner, lambda p: p == "")) == 0
         kept = F.filter(pieces, lambda p: p != "")
-        regular = F.size(F.filter(kept, lambda p: p.rlike('^[\\p{L}"\\u201c(\\[*]') & (F.length(p) <= 200)))
+        regular = F.size(F.filter(kept, lambda p: p.rlike('^([-\\u2013\\u2014] )?[\\p{L}"\\u201c(\\[*]') & (F.length(p) <= 200)))
         sums += [F.sum(F.when(has, 1).otherwise(0)).alias(f"n{i}"), F.sum(F.when(has & whole, 1).otherwise(0)).alias(f"w{i}"), F.sum(F.when(has, F.size(kept)).otherwise(0)).alias(f"p{i}"), F.sum(F.when(has, regular).otherwise(0)).alias(f"r{i}")]
     wide = rows.groupBy("source").agg(*sums)
     named = [F.struct(F.lit(name).alias("delimiter"), *[F.col(f"{x}{i}").alias(x) for x in "nwpr"]) for i, name in enumerate(known)]
@@ -140,7 +141,7 @@ def _closings(text: str) -> dict[int, int]:
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _scanned(values: pd.Series, patterns: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else split_packed(v, p) for v, p in zip(values, patterns)], dtype=object)
 
