@@ -1,22 +1,40 @@
-"""Connected components of any size by randomised contraction.
-
-Each round every vertex follows the neighbour (or itself) that a seeded hash
-ranks first, edges are drawn between the followed vertices and doubles and loops
-go.  A path or a star shrinks alike, in a number of rounds that grows with the
-logarithm of the vertices.  Every step is an aggregation that combines on the
-map side or a join against one row a vertex; hubs are split by the adaptive skew
-join.  Each round is written to the checkpoint folder, so a lost executor costs
-one round at most.  Nothing is brought to the driver but counts.
+"""Connected components of any size by hashed hooking and contraction.
+
+Each round every vertex hooks onto the neighbour that a seeded hash ranks first.
+That makes trees with one pair of vertices hooked onto each other; the one
+ranked first of the pair is the root.  Two jumps take vertices to their
+ancestors, edges are drawn between these, and doubles and loops go.  Each tree
+has two vertices at least and, as the hash changes, paths and stars shrink
+alike: the rounds grow with the logarithm of the vertices.  Every step is an
+aggregation that combines on the map side or a join against one row a vertex,
+whose hubs the adaptive skew join splits.  Each round is written to the
+checkpoint folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
+def _rank(seed: int, vertex: str) -> Column:
+    return F.struct(F.xxhash64(F.lit(seed), vertex).alias("h"), F.col(vertex).alias("v"))
+
+
+def _parents(edges: DataFrame, seed: int) -> DataFrame:
+    """``(v, to)``: an ancestor of every vertex of the edges, itself for a root."""
+    both = edges.union(edges.select("b", "a"))
+    hooked = both.groupBy("a").agg(F.min(_rank(seed, "b"))["v"].alias("to")).withColumnRenamed("a", "v")
+    above = lambda d: d.select(F.col("v").alias("to"), F.col("to").alias("up"))
+    root = (F.col("up") == F.col("v")) & (_rank(seed, "v") < _rank(seed, "to"))
+    parent = hooked.join(above(hooked), "to").select("v", F.when(root, F.col("v")).otherwise(F.col("to")).alias("to"))
+    for _ in range(2):
+        parent = parent.join(above(parent), "to").select("v", F.col("up").alias("to"))
+    return parent
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(v, root)``: each vertex of an edge between two different vertices, and its component's smallest vertex.
 
@@ -27,14 +45,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds: list[DataFrame] = []
     while not now.isEmpty():
-        seed = len(rounds)
-        rank = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), c.alias("v"))  # noqa: B023, E731
-        both = now.union(now.select("b", "a"))
-        followed = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("best")).select(F.col("a").alias("v"), F.least(rank(F.col("a")), F.col("best"))["v"].alias("to"))
-        followed = cut_lineage(followed)
-        rounds.append(followed)
-        moved = now.join(followed.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(followed.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
-        now = cut_lineage(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        parent = cut_lineage(_parents(now, len(rounds)))
+        rounds.append(parent)
+        end = lambda old, new: parent.select(F.col("v").alias(old), F.col("to").alias(new))  # noqa: B023, E731
+        moved = now.join(end("a", "x"), "a").join(end("b", "y"), "b").where("x <> y")
+        now = cut_lineage(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not rounds:
         return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
     at = rounds[-1]
