@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import packed_queries
+from . import lookup_queries, packed_queries, pair_queries
 
-QUERIES: dict = {**packed_queries.QUERIES}
-SQL: dict[str, str] = {}
+_PARTS = (pair_queries, lookup_queries, packed_queries)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL: dict[str, str] = {name: s for part in _PARTS for name, s in part.SQL.items()}
 FLAGSHIP = "heuristic_top_pairs"
