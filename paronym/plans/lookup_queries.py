@@ -257,9 +257,10 @@ def score_deciles(spark: SparkSession, folder: str) -> DataFrame:
     return _round(mt.deciles(scored(spark, folder)), "rate")
 
 
-@_add(_with(_SCORED, "SELECT y, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation, " + ", ".join(f"round(quantile_cont(score, {p}), 6) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + " FROM z GROUP BY 1"))
+@_add(_with(_SCORED, "SELECT y, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation, " + ", ".join(f"round(quantile_cont(score, {p}), 4) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + " FROM z GROUP BY 1"))
 def score_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    return _round(mt.score_distribution(scored(spark, folder)), "mean", "deviation", "p10", "p25", "p50", "p75", "p90")
+    made = _round(mt.score_distribution(scored(spark, folder)), "mean", "deviation")
+    return made.withColumns({p: F.round(p, 4) for p in ("p10", "p25", "p50", "p75", "p90")})
 
 
 @_add(_with(_SCORED, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS deviation, min({c})::double AS lowest, max({c})::double AS highest, stddev_pop({c}) < 1e-9 AS constant FROM z" for c in ("score", "other", "ca"))))
