@@ -47,6 +47,7 @@ from ..functions.text import (
     strict_form,
     tokens,
 )
+from ..session import cut_lineage
 from .lookups import char_terms, name_lookup, tfidf, vector_cosines, with_class_priors, word_terms
 
 
@@ -279,16 +280,18 @@ def cosine_block(df: DataFrame) -> DataFrame:
 
 
 def advanced(df: DataFrame, fitted: Fitted) -> DataFrame:
+    """Item matches, names in descriptions, class priors, concatenated names; ``ia`` and ``ib`` are the informative tokens."""
+    stop = list(fitted.stop_words) or ["\u0000"]
     df = df.join(item_matches(df.select("pair_id", "spec_a", "spec_b")), "pair_id", "left")
     df = with_class_priors(df, fitted.priors)
-    stems = {s: spec_stems(F.col(f"s{s}_toks")) for s in "ab"}
+    stems = {s: spec_stems(spec_tokens(F.col(f"spec_{s}"), stop)) for s in "ab"}
     anchored = lambda mine, words: F.size(F.filter(F.filter(mine, lambda t: F.length(t) >= 4), lambda t: matches_words(t, words)))
     a, b = F.col("a_compact"), F.col("b_compact")
     zero = F.lit(0.0)
     made = [
         F.coalesce("best", zero), F.coalesce("top3", zero), F.coalesce("aligned", zero), anchored(F.col("ia"), stems["b"]), anchored(F.col("ib"), stems["a"]),
         F.col("prior"), F.col("strength"), common_substring(a, b) / F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)),
-        _flag((F.col("ka") == F.col("kb")) & (a != "") & (b != "")), hamming_similarity(simhash64(a), simhash64(b)),
+        _flag((phonetic_key(a) == phonetic_key(b)) & (a != "") & (b != "")), hamming_similarity(simhash64(a), simhash64(b)),
     ]
     return df.withColumns({n: _num(c) for n, c in zip(ADVANCED, made)})
 
@@ -305,11 +308,21 @@ def interactions(df: DataFrame) -> DataFrame:
 
 
 def enriched(pairs: DataFrame, fitted: Fitted) -> DataFrame:
-    """``pairs`` with all features; a null never comes out of a feature."""
-    df = with_forms(pairs)
-    for block in (graphic, phonetic, token_block, numeral, composite):
-        df = block(df)
-    for block in (spec_block, class_block, generic_block):
-        df = block(df, fitted)
-    df = interactions(advanced(cosine_block(df), fitted))
-    return df.select(*pairs.columns, *[F.col(f"`{c}`") for c in feature_names(fitted.classes)])
+    """``pairs``, whose ``pair_id`` is unique, with all features; a null never comes out of a feature.
+
+    Every block is written once and the blocks meet by key: one plan of all of
+    them would take longer to optimize than to run.
+    """
+    names = feature_names(fitted.classes)
+    forms = cut_lineage(with_forms(pairs))
+
+    def block(made: DataFrame, *more: str) -> DataFrame:
+        return cut_lineage(made.select("pair_id", *[F.col(f"`{c}`") for c in made.columns if c in names and c not in forms.columns], *more))
+
+    parts = [block(f(forms)) for f in (graphic, phonetic, token_block, numeral, composite, cosine_block)]
+    parts += [block(spec_block(forms, fitted)), block(class_block(forms, fitted)), block(generic_block(forms, fitted), "ia", "ib")]
+    parts.append(block(advanced(forms.join(parts[-1].select("pair_id", "ia", "ib"), "pair_id"), fitted)))
+    df = forms
+    for part in parts:
+        df = df.join(part, "pair_id")
+    return interactions(df).select(*pairs.columns, *[F.col(f"`{c}`") for c in names])
