@@ -31,11 +31,12 @@ NEVER = ("comma",)
 QUOTES = {'"': '"', "“": "”"}
 BRACKETS = {"(": ")", "[": "]"}
 
-_EDGE = "^[\\s\\u00a0\\u2007\\u202f\\u3000\\u2000-\\u200a]+|[\\s\\u00a0\\u2007\\u202f\\u3000\\u2000-\\u200a]+$"
+#: Blanks that don't belong to a value.
+BLANKS = " \t\n\r\x0b\x0c\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def _masked(c: Column) -> Column:
@@ -61,9 +62,10 @@ def score_delimiters(df: DataFrame, source: str | None, fields: list[str], candi
     rows = rows.select("source", _masked(_trimmed(F.col("v"))).alias("v"))
     sums = []
     for i, pattern in enumerate(known.values()):
-        pieces = F.transform(F.split("v", pattern), _trimmed)
+        # Most fields lack most candidates; those aren't split.
+        pieces = F.transform(F.split(F.when(F.col("v").rlike(pattern), F.col("v")), pattern), _trimmed)
         inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
-        has, whole = F.size(pieces) > 1, F.size(F.filter(inner, lambda p: p == "")) == 0
+        has, whole = F.col("v").rlike(pattern), F.size(F.filter(inner, lambda p: p == "")) == 0
         kept = F.filter(pieces, lambda p: p != "")
         regular = F.size(F.filter(kept, lambda p: p.rlike('^([-\\u2013\\u2014] )?[\\p{L}"\\u201c(\\[*]') & (F.length(p) <= 200)))
         sums += [F.sum(F.when(has, 1).otherwise(0)).alias(f"n{i}"), F.sum(F.when(has & whole, 1).otherwise(0)).alias(f"w{i}"), F.sum(F.when(has, F.size(kept)).otherwise(0)).alias(f"p{i}"), F.sum(F.when(has, regular).otherwise(0)).alias(f"r{i}")]
