@@ -134,7 +134,7 @@ def phonetic_key(c: Column) -> Column:
     out = F.regexp_replace(collapse_repeats(c), "[^a-z]", "")
     for pattern, sound in SOUNDS:
         out = F.regexp_replace(out, pattern, sound)
-    return F.upper(F.concat(F.substring(out, 1, 1), F.regexp_replace(F.substring(out, 2, 1 << 30), "[aeiou]", "")))
+    return F.upper(F.regexp_replace(out, "(?<!^)[aeiou]", ""))
 
 
 def tokens(c: Column) -> Column:
