@@ -48,7 +48,7 @@ from ..functions.text import (
     tokens,
 )
 from ..session import cut_lineage
-from .lookups import char_terms, name_lookup, tfidf, vector_cosines, with_class_priors, word_terms
+from .lookups import char_terms, name_lookup, term_counts, tfidf, tfidf_vectors, tfidf_vocabulary, vector_cosines, with_class_priors, word_terms
 
 
 @dataclass(frozen=True)
@@ -247,15 +247,22 @@ def generic_block(df: DataFrame, fitted: Fitted) -> DataFrame:
     return df.withColumns({n: _num(c) for n, c in zip(RADICAL, pure)} | against).drop("ra", "rb", "pa", "pb", "jr", "jp", "sh", "n_shared")
 
 
+def _descriptions(df: DataFrame) -> DataFrame:
+    """``(spec, copies)``: each distinct description and how many of both sides have it."""
+    return df.select(F.explode(F.array("spec_a", "spec_b")).alias("spec")).groupBy("spec").agg(F.count("*").alias("copies"))
+
+
 def item_matches(df: DataFrame, key: str = "pair_id") -> DataFrame:
     """``(key, best, top3, aligned)`` of the character cosines between the items of both descriptions.
 
-    Items are weighted once a distinct text; cosines are an equi-join on pair
+    The vocabulary is that of ``spec_cosine_tfidf_char``, fitted on all
+    descriptions.  Items are weighted once a distinct text; cosines are an equi-join on pair
     and term, so items without a common term cost nothing.
     """
     items = df.select(key, F.posexplode(spec_items(F.col("spec_a"))).alias("p", "item")).withColumn("side", F.lit("a")).unionByName(df.select(key, F.posexplode(spec_items(F.col("spec_b"))).alias("p", "item")).withColumn("side", F.lit("b")))
     texts = items.select("item").distinct()
-    _, vectors = tfidf(texts, "item", char_terms("item"), least_df=1, max_terms=10_000)
+    vocabulary = tfidf_vocabulary(*term_counts(_descriptions(df), "spec", char_terms("spec"), "copies"), max_terms=10_000)
+    vectors = tfidf_vectors(term_counts(texts, "item", char_terms("item"))[0], vocabulary)
     weighted = items.join(vectors.withColumnRenamed("ident", "item"), "item")
     a = weighted.where("side = 'a'").select(key, F.col("p").alias("r"), "term", F.col("weight").alias("wa"))
     b = weighted.where("side = 'b'").select(key, F.col("p").alias("c"), "term", F.col("weight").alias("wb"))
@@ -271,9 +278,9 @@ def item_matches(df: DataFrame, key: str = "pair_id") -> DataFrame:
 
 def cosine_block(df: DataFrame) -> DataFrame:
     """Cosines of the descriptions; without an encoder those of embeddings are 0."""
-    texts = df.select(F.explode(F.array("spec_a", "spec_b")).alias("spec")).distinct()
+    texts = _descriptions(df)
     for name, terms, size in (("spec_cosine_tfidf_word", word_terms("spec"), 20_000), ("spec_cosine_tfidf_char", char_terms("spec"), 10_000)):
-        _, vectors = tfidf(texts, "spec", terms, max_terms=size)
+        _, vectors = tfidf(texts, "spec", terms, max_terms=size, copies="copies")
         found = vector_cosines(df.select("pair_id", "spec_a", "spec_b"), "pair_id", "spec_a", "spec_b", vectors)
         df = df.join(found.withColumnRenamed("cosine", name), "pair_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     return df.withColumns({c: F.lit(0.0) for c in COSINE[2:]})

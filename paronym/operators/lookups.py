@@ -86,21 +86,37 @@ def char_terms(text: str, low: int = 3, high: int = 5):
     return F.flatten(F.transform(words, grams))
 
 
-def tfidf(texts: DataFrame, ident: str, terms, least_df: int = 3, max_terms: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary ``(term, tf, df, idf)`` and vectors ``(ident, term, weight)`` of length 1.
+def tfidf_vocabulary(counts: DataFrame, total: DataFrame, least_df: int = 3, max_terms: int = 20_000) -> DataFrame:
+    """``(term, tf, df, idf)`` of term counts (ident, copies, term, n) and the one row ``docs`` of all texts.
 
-    Term counts are damped by the logarithm, idf is smoothed; the vocabulary
-    keeps terms of ``least_df`` texts or more, of those the most frequent, by
-    total count and then by name.
+    A text counts as often as it has copies.  The vocabulary keeps terms of
+    ``least_df`` texts or more, of those the most frequent, by total count and
+    then by name.
     """
-    counts = texts.select(F.col(ident).alias("ident"), F.explode(terms).alias("term")).groupBy("ident", "term").agg(F.count("*").alias("n"))
-    total = texts.agg(F.count("*").alias("docs"))
-    sums = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= least_df)
+    sums = counts.groupBy("term").agg(F.sum(F.col("n") * F.col("copies")).alias("tf"), F.sum("copies").alias("df")).where(F.col("df") >= least_df)
     kept = sums.orderBy(F.desc("tf"), "term").limit(max_terms)
-    vocabulary = kept.crossJoin(F.broadcast(total)).select("term", "tf", "df", (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return kept.crossJoin(F.broadcast(total)).select("term", "tf", "df", (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def term_counts(texts: DataFrame, ident: str, terms, copies: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Term counts ``(ident, copies, term, n)`` and the one row ``docs``; without a column of ``copies`` each text stands for itself."""
+    times = F.lit(1).cast("bigint") if copies is None else F.col(copies)
+    counts = texts.select(F.col(ident).alias("ident"), times.alias("copies"), F.explode(terms).alias("term")).groupBy("ident", "copies", "term").agg(F.count("*").alias("n"))
+    return counts, texts.agg(F.coalesce(F.sum(times), F.lit(0)).alias("docs"))
+
+
+def tfidf_vectors(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Vectors ``(ident, term, weight)`` of length 1 over the vocabulary's terms; term counts are damped by the logarithm."""
     raw = counts.join(vocabulary.select("term", "idf"), "term").select("ident", "term", ((F.log("n") + 1) * F.col("idf")).alias("w"))
     norms = raw.groupBy("ident").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return vocabulary, raw.join(norms, "ident").select("ident", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return raw.join(norms, "ident").select("ident", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf(texts: DataFrame, ident: str, terms, least_df: int = 3, max_terms: int = 20_000, copies: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary ``(term, tf, df, idf)`` and vectors ``(ident, term, weight)`` of length 1, both of the same texts."""
+    counts, total = term_counts(texts, ident, terms, copies)
+    vocabulary = tfidf_vocabulary(counts, total, least_df, max_terms)
+    return vocabulary, tfidf_vectors(counts, vocabulary)
 
 
 def vector_cosines(pairs: DataFrame, key: str, left: str, right: str, vectors: DataFrame) -> DataFrame:
