@@ -90,7 +90,10 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
 
 @dataclass
 class Mix:
-    """``report``: (source, weight, max_uses, documents, tokens, capacity, target, chosen, share, short); ``selection``: (key, source, uses, tokens)."""
+    """``report``: (source, weight, max_uses, documents, tokens, capacity, target, chosen, taken, share, short); ``selection``: (key, source, uses, tokens).
+
+    ``chosen`` is the flow's plan; ``taken`` and ``share`` are what the selection takes in whole documents.
+    """
 
     report: DataFrame
     selection: DataFrame
@@ -147,7 +150,10 @@ def mix_sources(df: DataFrame, key: str, size: str, sources: str, targets: DataF
             if s in has:
                 has[s] = (has[s][0] + r.d, has[s][1] + r.n)
     got = {s: sum(f for (_, x), f in flows.items() if x == s) for s in wanted}
-    all_got = sum(got.values())
-    lines = [(s, w, m, has[s][0], has[s][1], has[s][1] * m, w * total, got[s], got[s] / all_got if all_got else 0.0, got[s] < w * total) for s, (w, m) in sorted(wanted.items())]
-    report = spark.createDataFrame(lines, "source string, weight double, max_uses int, documents bigint, tokens bigint, capacity bigint, target double, chosen bigint, share double, short boolean")
+    lines = [(s, w, m, has[s][0], has[s][1], has[s][1] * m, w * total, got[s], got[s] < w * total) for s, (w, m) in sorted(wanted.items())]
+    facts = spark.createDataFrame(lines, "source string, weight double, max_uses int, documents bigint, tokens bigint, capacity bigint, target double, chosen bigint, short boolean")
+    taken = chosen.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("taken"))
+    reached = taken.agg(F.sum("taken").alias("all"))  # one row
+    filled = facts.join(taken, "source", "left").crossJoin(F.broadcast(reached)).withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint")))
+    report = filled.select("source", "weight", "max_uses", "documents", "tokens", "capacity", "target", "chosen", "taken", F.coalesce(F.col("taken") / F.col("all"), F.lit(0.0)).alias("share"), "short")
     return Mix(report, chosen)

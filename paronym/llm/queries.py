@@ -115,8 +115,8 @@ def _mix(spark: SparkSession, folder: str) -> Mix:
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Each source's target and the share that the mix gives it."""
-    return _mix(spark, folder).report
+    """Each source's target, the tokens planned for it, and the tokens and share that the selection takes."""
+    return _mix(spark, folder).report.withColumnsRenamed({"chosen": "planned", "taken": "chosen"})
 
 
 def p8_selection(spark: SparkSession, folder: str) -> DataFrame:

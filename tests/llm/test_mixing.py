@@ -47,3 +47,15 @@ def test_single_source_column_nulls_and_empty(spark):
     nothing = _mix(spark, [], [("a", 0.5, 1)])
     assert nothing.selection.count() == 0 and nothing.report.collect()[0].chosen == 0
     assert _mix(spark, [(1, 5, ["a"])], []).selection.count() == 0
+
+
+def test_report_gives_what_the_selection_takes(spark):
+    rows = [(i, 1000, ["long"]) for i in range(4)] + [(100 + i, 1, ["fine"]) for i in range(1000)]
+    mix = _mix(spark, rows, [("long", 0.05, 1), ("fine", 0.1, 1), ("absent", 0.1, 1)])
+    taken = defaultdict(int)
+    for r in mix.selection.collect():
+        taken[r.source] += r.uses * r.tokens
+    report = {r.source: r for r in mix.report.collect()}
+    assert report["long"].chosen == 250 and report["long"].taken in (0, 1000)  # documents are taken whole
+    assert {s: r.taken for s, r in report.items()} == {s: taken[s] for s in report}
+    assert {s: r.share for s, r in report.items()} == pytest.approx({s: taken[s] / sum(taken.values()) for s in report})
