@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions without a checkpoint folder, by application.
+_LOCAL: dict[str, str] = {}
+
 #: Settings that the operators rely on; all are run-time settings of Spark SQL.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,19 +38,31 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
     return spark
 
 
+def _tables_folder(spark: SparkSession) -> str:
+    """This application's folder for written tables, under ``spark.checkpoint.dir``; deleted when the application ends."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        set_before = context._jsc.sc().getCheckpointDir()
+        if set_before.isDefined():
+            folder = set_before.get()
+        elif context.master.startswith("local"):
+            folder = _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="paronym-tables-"))
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/paronym-{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return a frame that reads it.
+    """Write ``df`` as a table to the folder that all executors share and return a frame that reads it.
 
-    The folder is ``spark.checkpoint.dir`` of the session, which all executors
-    share.  Only a local session without that setting gets a temporary folder.
+    The folder lies in ``spark.checkpoint.dir`` of the session.  A written table
+    is computed once, where ``checkpoint()`` computes its last stage twice, and
+    its size is known to the optimizer.  Only a local session without that
+    setting gets a temporary folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="paronym-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{_tables_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
