@@ -9,12 +9,19 @@ through one Arrow batch function that scans brackets and quotes of any depth.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
+#: Blanks that don't belong to a value; written out, as Java and Python disagree on what ``\\s`` is.
+BLANKS = " \t\n\r\x0b\x0c\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Candidates by name, as patterns that Java and Python read alike.
 CANDIDATES = {
     "semicolon": ";",
@@ -22,59 +29,110 @@ CANDIDATES = {
     "tab": "\\t",
     "line break": "\\r\\n|[\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029]",
     "bullet": "[\\u2022\\u2023\\u2043\\u2219\\u25aa\\u25ab\\u25cf\\u25e6]",
-    "spaced slash": "(?<=[\\s\\u00a0])/(?=[\\s\\u00a0])",
-    "spaced dash": "(?<=[\\s\\u00a0])[-\\u2013\\u2014](?=[\\s\\u00a0])",
+    "spaced slash": f"(?<=[{BLANKS}])/(?=[{BLANKS}])",
+    "spaced dash": f"(?<=[{BLANKS}])[-\\u2013\\u2014](?=[{BLANKS}])",
     "comma": ",",
 }
 #: Candidates that never part, whatever they score.
 NEVER = ("comma",)
 QUOTES = {'"': '"', "“": "”"}
 BRACKETS = {"(": ")", "[": "]"}
-
-#: Blanks that don't belong to a value.
-BLANKS = " \t\n\r\x0b\x0c\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A piece of a list isn't longer.
+LONGEST = 200
 
 
 def _trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def _masked(c: Column) -> Column:
-    """The field without innermost brackets and without quoted values, for scoring only."""
-    plain = F.regexp_replace(c, "\\([^()\\[\\]]*\\)|\\[[^()\\[\\]]*\\]", "")
-    return F.regexp_replace(plain, '(^|[;|\\t\\n\\u2022])[ ]*("([^"]|"")*"|\\u201c[^\\u201d]*\\u201d)', "$1quoted")
-
-
-def score_delimiters(df: DataFrame, source: str | None, fields: list[str], candidates: dict[str, str] | None = None, never: tuple[str, ...] = NEVER, least_fields: int = 50, least_score: float = 0.5) -> DataFrame:
+_BRACKETED = re.compile(r"\([^()\[\]]*\)|\[[^()\[\]]*\]")
+_QUOTED = re.compile('(^|[;|\\t\\n\u2022]) *("(?:[^"]|"")*"|\u201c[^\u201d]*\u201d)')
+
+
+def _is_item(piece: str) -> bool:
+    """Whether a piece opens as an item of a list does: with a letter, a quote, a bracket or a dash before one of these."""
+    first = piece[2:3] if piece[:2] in ("- ", "– ", "— ") else piece[:1]
+    return len(piece) <= LONGEST and (first.isalpha() or first in ('"', "“", "(", "[", "*"))
+
+
+def _tallies(known: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over the fields of a batch by source and candidate: fields with it, fields whose inner pieces are all there, pieces, pieces of the type of items."""
+    names = list(known)
+    any_of = re.compile("|".join(f"({p})" for p in known.values()) or "(?!)")
+    single = [re.compile(p) for p in known.values()]
+    # Patterns without groups of their own are looked for in one pass; of two that match, the first wins, as in a split.
+    apart = all(p.groups == 0 for p in single)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list[int]] = {}
+        for batch in batches:
+            for source, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                v = v.strip(BLANKS)
+                if "(" in v or "[" in v:
+                    v = _BRACKETED.sub("", v)
+                if '"' in v or "“" in v:
+                    v = _QUOTED.sub(r"\1quoted", v)
+                cuts: dict[int, list[tuple[int, int]]] = {}
+                if apart:
+                    for m in any_of.finditer(v):
+                        cuts.setdefault(m.lastindex - 1, []).append(m.span())
+                else:
+                    for i, pattern in enumerate(single):
+                        spans = [m.span() for m in pattern.finditer(v)]
+                        if spans:
+                            cuts[i] = spans
+                for i, spans in cuts.items():
+                    pieces, at = [], 0
+                    for a, b in spans:
+                        pieces.append(v[at:a].strip(BLANKS))
+                        at = b
+                    pieces.append(v[at:].strip(BLANKS))
+                    kept = [p for p in pieces if p]
+                    held = sums.setdefault((source, i), [0, 0, 0, 0])
+                    held[0] += 1
+                    held[1] += all(pieces[1:-1])
+                    held[2] += len(kept)
+                    held[3] += sum(map(_is_item, kept))
+        yield pa.RecordBatch.from_pydict({
+            "source": pa.array([s for s, _ in sums], pa.string()), "delimiter": pa.array([names[i] for _, i in sums], pa.string()),
+            **{c: pa.array([x[j] for x in sums.values()], pa.int64()) for j, c in enumerate("nwpr")},
+        })
+
+    return run
+
+
+def score_delimiters(df: DataFrame, source: str | None, fields: list[str], candidates: dict[str, str] | None = None, never: tuple[str, ...] = NEVER, least_score: float = 0.5, lean: float = 50.0) -> DataFrame:
     """``(source, delimiter, fields, consistency, regularity, score, active)`` of each candidate in each source.
 
     ``consistency`` is the share of a source's fields with the delimiter whose
     inner pieces are all there, so that the piece count is what the delimiters
     say; ``regularity`` the share of pieces of the type that pieces of a list
-    have: an opening letter or quote, no more than 200 characters.  The score is
-    their product.  A candidate with ``least_fields`` fields or more in a source
-    is active if it scores ``least_score``; with fewer it is active unless
-    listed in ``never``, whose candidates are scored but never active.
+    have: an opening letter or quote, no more than 200 characters.  Both are
+    drawn towards the candidate's share over all sources, as if the source had
+    ``lean`` fields more, and that towards 1 in the same way, so a source with
+    little evidence follows the others.  The score is their product; a
+    candidate is active if it reaches ``least_score``, at any size of the data,
+    unless listed in ``never``, whose candidates are scored but never active.
+    A candidate that a source lacks has no fields there and the others' score.
     """
     known = CANDIDATES if candidates is None else candidates
     who = F.lit("") if source is None else F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
     rows = df.select(who.alias("source"), F.explode(F.array(*[F.col(f"`{f}`").cast("string") for f in fields])).alias("v")).where("v is not null")
-    rows = rows.select("source", _masked(_trimmed(F.col("v"))).alias("v"))
-    sums = []
-    for i, pattern in enumerate(known.values()):
-        # Most fields lack most candidates; those aren't split.
-        pieces = F.transform(F.split(F.when(F.col("v").rlike(pattern), F.col("v")), pattern), _trimmed)
-        inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
-        has, whole = F.col("v").rlike(pattern), F.size(F.filter(inner, lambda p: p == "")) == 0
-        kept = F.filter(pieces, lambda p: p != "")
-        regular = F.size(F.filter(kept, lambda p: p.rlike('^([-\\u2013\\u2014] )?[\\p{L}"\\u201c(\\[*]') & (F.length(p) <= 200)))
-        sums += [F.sum(F.when(has, 1).otherwise(0)).alias(f"n{i}"), F.sum(F.when(has & whole, 1).otherwise(0)).alias(f"w{i}"), F.sum(F.when(has, F.size(kept)).otherwise(0)).alias(f"p{i}"), F.sum(F.when(has, regular).otherwise(0)).alias(f"r{i}")]
-    wide = rows.groupBy("source").agg(*sums)
-    named = [F.struct(F.lit(name).alias("delimiter"), *[F.col(f"{x}{i}").alias(x) for x in "nwpr"]) for i, name in enumerate(known)]
-    long = wide.select("source", F.explode(F.array(*named)).alias("x")).select("source", "x.*")
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    scored = long.select("source", "delimiter", F.col("n").alias("fields"), share("w", "n").alias("consistency"), share("r", "p").alias("regularity")).withColumn("score", F.col("consistency") * F.col("regularity"))
-    return scored.withColumn("active", ~F.col("delimiter").isin(*never) & ((F.col("fields") < least_fields) | (F.col("score") >= least_score)))
+    parts = rows.mapInArrow(_tallies(known), "source string, delimiter string, n bigint, w bigint, p bigint, r bigint")
+    sums = [F.sum(x).alias(x) for x in "nwpr"]
+    each = cut_lineage(parts.groupBy("source", "delimiter").agg(*sums))  # a row a source and candidate
+    sources = df.select(who.alias("source")).distinct()
+    names = df.sparkSession.createDataFrame([(x,) for x in known], "delimiter string")
+    grid = sources.crossJoin(F.broadcast(names)).join(each, ["source", "delimiter"], "left").fillna(0, [*"nwpr"])  # a source has as many rows as there are candidates
+    pooled = each.groupBy("delimiter").agg(*[F.sum(x).alias(f"all_{x}") for x in "nwpr"])
+    wide = grid.join(F.broadcast(pooled), "delimiter", "left").fillna(0, [f"all_{x}" for x in "nwpr"])
+
+    def share(part: str, whole: str) -> Column:
+        of_all = (F.col(f"all_{part}") + lean) / (F.col(f"all_{whole}") + lean)
+        return (F.col(part) + lean * of_all) / (F.col(whole) + lean)
+
+    scored = wide.select("source", "delimiter", F.col("n").alias("fields"), share("w", "n").alias("consistency"), share("r", "p").alias("regularity")).withColumn("score", F.col("consistency") * F.col("regularity"))
+    return scored.withColumn("active", ~F.col("delimiter").isin(*never) & (F.col("score") >= least_score))
 
 
 def split_packed(text: str, pattern: str) -> list[str]:
@@ -87,7 +145,7 @@ def split_packed(text: str, pattern: str) -> list[str]:
     closed: dict[int, int] | None = None
     while True:
         first = start
-        while first < n and text[first].isspace() and not re.match(pattern or "(?!)", text[first]):
+        while first < n and text[first] in BLANKS and not re.match(pattern or "(?!)", text[first]):
             first += 1
         quote_end = -1
         if at <= first < n and text[first] in QUOTES:
@@ -102,7 +160,7 @@ def split_packed(text: str, pattern: str) -> list[str]:
                 closed = _closings(text)
             at = closed.get(m.start(), m.start()) + 1
         end = m.start() if m else n
-        values.append(_value(text[start:end], text[first], quote_end, first, text) if quote_end >= 0 and quote_end < end else text[start:end].strip())
+        values.append(_value(text[start:end], text[first], quote_end, first, text) if quote_end >= 0 and quote_end < end else text[start:end].strip(BLANKS))
         if m is None:
             return [v for v in values if v]
         start = at = max(m.end(), m.start() + 1)
@@ -119,11 +177,11 @@ def _closing_quote(text: str, at: int) -> int:
 
 
 def _value(piece: str, quote: str, quote_end: int, first: int, text: str) -> str:
-    whole = piece.strip()
+    whole = piece.strip(BLANKS)
     inner = text[first + 1 : quote_end]
     if len(whole) != quote_end - first + 1:
         return whole  # text goes on behind the quoted part
-    return (inner.replace('""', '"') if quote == '"' else inner).strip()
+    return (inner.replace('""', '"') if quote == '"' else inner).strip(BLANKS)
 
 
 def _closings(text: str) -> dict[int, int]:
