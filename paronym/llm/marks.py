@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .plain_form import folded, is_usable, plain_forms
+from .plain_form import folded, is_usable, plain_columns, plain_forms
 
 MARKS = ["marca_monitorada", "marca_colidente"]
 
@@ -21,7 +21,7 @@ def plain_marks(spark: SparkSession, folder: str) -> DataFrame:
     return plain_forms(usable_pairs(spark, folder), ["pair_id"], MARKS)
 
 
-def folded_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """``(pair_id, a, b)``: folded forms of the monitored and the colliding mark of every usable pair."""
-    side = lambda f: F.max(F.when(F.col("field") == f, folded(F.col("plain"))))
-    return plain_marks(spark, folder).groupBy("pair_id").agg(side(MARKS[0]).alias("a"), side(MARKS[1]).alias("b"))
+def folded_pairs(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """``(pair_id, *more, a, b)``: folded forms of the monitored and the colliding mark of every usable pair, and other columns of it."""
+    plain = plain_columns(usable_pairs(spark, folder), ["pair_id", *more], MARKS)
+    return plain.select("pair_id", *more, folded(F.col(MARKS[0])).alias("a"), folded(F.col(MARKS[1])).alias("b"))

@@ -3,13 +3,15 @@
 Texts are exploded to positioned code points, a broadcast table brings each
 code point's decomposition, look-alike letter and combining class, marks are
 ordered by class inside their segment, segments are composed again and the
-strings rebuilt.  Explode, join and rebuild run inside one partitioning by row
-key, so the exploded rows are never shuffled; the only exchange is that of the
-narrow key and value columns.
+strings rebuilt.  Explode, join and rebuild run inside one partitioning by the
+text's hash, so the exploded rows are never shuffled, and every distinct text is
+worked on once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,31 +51,24 @@ def _compose(parts: Column) -> Column:
     return F.aggregate(parts, state(empty, empty, empty, F.lit(-1)), step, lambda s: F.concat(s["done"], s["starter"], s["tail"]))
 
 
-def plain_forms(df: DataFrame, keys: list[str], fields: list[str], lookalikes: dict[str, str] | None = None) -> DataFrame:
-    """One row ``(*keys, field, value, plain)`` for each row of ``df`` and each of ``fields``.
+def _odd(value: Column) -> Column:
+    return F.coalesce(value.rlike(SETTLED), F.lit(False))
 
-    ``field`` is the column's name, ``value`` the stored string and ``plain``
-    its plain form: canonical composition, separate letters and digits of
-    ordinary width, ordinary blanks, no invisible characters, a Latin letter
-    for each look-alike.  Tabs and line breaks stay.  Null stays null, empty
-    stays empty; repeated rows and repeated keys are kept, each for itself;
-    other columns of ``df``, whatever their names, are left out.  A conjoining
-    Hangul jamo isn't composed.  Texts may have any length.
+
+def plain_values(values: DataFrame, column: str, lookalikes: dict[str, str] | None = None) -> DataFrame:
+    """``(value, plain)`` of each distinct string of ``column`` that has characters which may change.
+
+    Texts may have any length; the exploded code points of a text stay in the
+    partition to which the text was sent.
     """
-    spark, n = df.sparkSession, len(keys)
     known = tuple((LOOKALIKES if lookalikes is None else lookalikes).items())
-    k = [f"k{i}" for i in range(n)]
-    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys, k)], F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("string").alias("v")) for f in fields])).alias("x")).select(*k, "x.f", "x.v")
-    table = spark.createDataFrame([(ch, image, [tuple(p) for p in parts]) for ch, image, parts in code_points(known)], "ch string, image string, parts array<struct<c: string, k: int>>")
-    names = [F.col(a).alias(c) for a, c in zip(k, keys)]
-
-    odd = F.coalesce(F.col("v").rlike(SETTLED), F.lit(False))
+    table = values.sparkSession.createDataFrame([(ch, image, [tuple(p) for p in parts]) for ch, image, parts in code_points(known)], "ch string, image string, parts array<struct<c: string, k: int>>")
     merging = F.coalesce(F.col("v").rlike(_class(joining(known))), F.lit(False))
-    settled = rows.where(~odd).select(*names, F.col("f").alias("field"), F.col("v").alias("value"), F.col("v").alias("plain"))
+    each = values.select(F.col(f"`{column}`").cast("string").alias("v")).where(_odd(F.col("v"))).distinct()
 
-    # A row number inside the partition keeps repeated rows apart; it is made and used in one stage.
-    held = rows.where(odd).withColumn("hv", F.xxhash64("v")).repartition(*k, "f", "hv").withColumn("rid", F.monotonically_increasing_id()).withColumn("m", merging)
-    group = [*k, "f", "hv", "rid"]
+    # A row number inside the partition keeps texts of one hash apart; it is made and used in one stage.
+    held = each.withColumn("hv", F.xxhash64("v")).repartition("hv").withColumn("rid", F.monotonically_increasing_id()).withColumn("m", merging)
+    group = ["hv", "rid"]
     chars = held.select(*group, "m", F.posexplode(F.split("v", "")).alias("p", "ch"), F.when(F.col("p") == 0, F.col("v")).alias("v"))
     mapped = chars.join(F.broadcast(table), "ch", "left")
 
@@ -87,9 +82,42 @@ def plain_forms(df: DataFrame, keys: list[str], fields: list[str], lookalikes: d
     merged = _seconds(composed, group)
 
     def whole(d: DataFrame) -> DataFrame:
-        return d.select(*names, F.col("f").alias("field"), F.col("v").alias("value"), F.array_join(F.transform("a", lambda x: x["s"]), "").alias("plain"))
+        return d.select(F.col("v").alias("value"), F.array_join(F.transform("a", lambda x: x["s"]), "").alias("plain"))
 
-    return settled.unionByName(whole(single)).unionByName(whole(merged))
+    return whole(single).unionByName(whole(merged))
+
+
+def plain_forms(df: DataFrame, keys: list[str], fields: list[str], lookalikes: dict[str, str] | None = None) -> DataFrame:
+    """One row ``(*keys, field, value, plain)`` for each row of ``df`` and each of ``fields``.
+
+    ``field`` is the column's name, ``value`` the stored string and ``plain``
+    its plain form: canonical composition, separate letters and digits of
+    ordinary width, ordinary blanks, no invisible characters, a Latin letter
+    for each look-alike.  Tabs and line breaks stay.  Null stays null, empty
+    stays empty; repeated rows and repeated keys are kept, each for itself;
+    other columns of ``df``, whatever their names, are left out.  A conjoining
+    Hangul jamo isn't composed.  Texts may have any length.  Only values that
+    may change are moved, and each distinct one is worked on once.
+    """
+    k = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys, k)], F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"`{f}`").cast("string").alias("v")) for f in fields])).alias("x")).select(*k, "x.f", "x.v")
+    named = lambda d, plain: d.select(*[F.col(a).alias(c) for a, c in zip(k, keys)], F.col("f").alias("field"), F.col("v").alias("value"), plain.alias("plain"))
+    odd = rows.where(_odd(F.col("v")))
+    known = plain_values(odd, "v", lookalikes).withColumnRenamed("value", "v")
+    return named(rows.where(~_odd(F.col("v"))), F.col("v")).unionByName(named(odd.join(known, "v"), F.col("plain")))
+
+
+def plain_columns(df: DataFrame, keys: list[str], fields: list[str], lookalikes: dict[str, str] | None = None) -> DataFrame:
+    """``(*keys, *fields)`` with each field in plain form, one row for each row of ``df``; cases as in ``plain_forms``."""
+    k, v = [f"k{i}" for i in range(len(keys))], [f"v{i}" for i in range(len(fields))]
+    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys, k)], *[F.col(f"`{f}`").cast("string").alias(a) for f, a in zip(fields, v)])
+    any_odd = reduce(lambda x, y: x | y, [_odd(F.col(a)) for a in v])
+    odd = rows.where(any_odd)
+    known = plain_values(odd.select(F.explode(F.array(*v)).alias("v")), "v", lookalikes)
+    for a in v:
+        odd = odd.join(known.select(F.col("value").alias(a), F.col("plain").alias("p")), a, "left").withColumn(a, F.coalesce("p", a)).drop("p")
+    both = rows.where(~any_odd).unionByName(odd)
+    return both.select(*[F.col(a).alias(c) for a, c in zip(k, keys)], *[F.col(a).alias(f) for a, f in zip(v, fields)])
 
 
 def _seconds(composed: DataFrame, group: list[str]) -> DataFrame:
