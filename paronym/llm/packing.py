@@ -5,9 +5,11 @@ falling size and closes its nearly full bins; the others travel as items to the
 next level, where fewer partitions pack them together, up to one.  An item is
 cut only if it is larger than a container.
 
-A partition hands on at most ``carry`` bins, the emptiest ones, and closes the
-rest as they are, so a task never holds more than ``fan_in * carry`` rows,
-however large the data; items are never dropped.
+Bins whose room is smaller than the smallest item left anywhere are closed
+between levels, which costs nothing.  A level has as many partitions as its
+items need at ``rows_per_task``, so no task grows with the data; where that
+keeps more than one partition, levels go on in new company until a round spares
+less than one bin in a thousand.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(capacity: int, full: float, carry: int, level: int, last: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _pack(capacity: int, full: float, level: int, last: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if not parts:
@@ -61,12 +63,7 @@ def _pack(capacity: int, full: float, carry: int, level: int, last: bool) -> Cal
         sizes = held["size"].to_numpy(np.int64)
         bins = best_fit(sizes, capacity)
         sums = np.array([sizes[b].sum() for b in bins])
-        closed = sums >= full * capacity
-        if last:
-            closed[:] = True
-        elif (~closed).sum() > carry:
-            still = np.flatnonzero(~closed)
-            closed[still[np.argsort(sums[still], kind="stable")[carry:]]] = True
+        closed = np.ones(len(bins), bool) if last else sums >= full * capacity
         names, items = held["bin"].to_numpy(), held["items"].to_numpy()
         for at in range(0, len(bins), 10_000):
             some = range(at, min(at + 10_000, len(bins)))
@@ -75,7 +72,7 @@ def _pack(capacity: int, full: float, carry: int, level: int, last: bool) -> Cal
     return run
 
 
-def pack_items(df: DataFrame, key: str, size: str, capacity: int = 4096, full: float = 0.98, partitions: int | None = None, fan_in: int = 8, carry: int = 20_000, rows_per_task: int = 500_000) -> DataFrame:
+def pack_items(df: DataFrame, key: str, size: str, capacity: int = 4096, full: float = 0.98, partitions: int | None = None, fan_in: int = 8, rows_per_task: int = 200_000) -> DataFrame:
     """``(container, key, piece, tokens, filled)``: every item in its container, or in several if it is larger than one.
 
     ``piece`` counts from 0; ``filled`` is the container's total.  A null size
@@ -90,14 +87,20 @@ def pack_items(df: DataFrame, key: str, size: str, capacity: int = 4096, full: f
     cut = rows.where("n > 0").select(F.explode(pieces).alias("x"))
     name = F.concat_ws("/", F.lpad(F.hex(F.xxhash64("x.key")), 16, "0"), F.coalesce("x.key", F.lit("")), F.col("x.piece").cast("string"))
     items = cut.select(name.alias("bin"), F.col("x.tokens").alias("size"), F.array("x").alias("items"))
-    todo, done, level = items.repartition(count, "bin"), [], 0
+    todo, done, level, before = items.repartition(count, "bin"), [], 0, None
     while True:
-        packed = cut_lineage(todo.mapInPandas(_pack(capacity, full, carry, level, count == 1), _BINS))
-        done.append(packed.where("closed").drop("closed"))
-        if count == 1:
+        packed = cut_lineage(todo.mapInPandas(_pack(capacity, full, level, count == 1), _BINS))
+        left = packed.where("not closed")
+        n, least = left.agg(F.count("*"), F.min("size")).first()
+        if not n or (count > 1 and before is not None and before - n < before / 1000):
+            done.append(packed.drop("closed"))
             break
-        count, level = max(1, count // fan_in), level + 1
-        todo = packed.where("not closed").drop("closed").repartition(count, "bin")
+        fits = F.col("size") + least <= capacity
+        done.append(packed.where(F.col("closed") | ~fits).drop("closed"))
+        need = -(-n // rows_per_task)
+        before = n if need >= count // fan_in else None  # a smaller number of partitions is a fresh start
+        count, level = max(1, count // fan_in, need), level + 1
+        todo = left.where(fits).drop("closed").repartition(count, F.xxhash64(F.lit(level), "bin"))
     bins = done[0]
     for more in done[1:]:
         bins = bins.unionByName(more)
