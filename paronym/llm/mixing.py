@@ -99,7 +99,7 @@ class Mix:
     selection: DataFrame
 
 
-def mix_sources(df: DataFrame, key: str, size: str, sources: str, targets: DataFrame, seed: int = 42, max_patterns: int = 100_000, circle: int = 16_384) -> Mix:
+def mix_sources(df: DataFrame, key: str, size: str, sources: str, targets: DataFrame, seed: int = 42, circle: int = 16_384) -> Mix:
     """Choose documents so that each source of ``targets`` (source, weight, max_uses) gives its share of the total size.
 
     ``sources`` is a column of one source or an array of several.  The total is
@@ -108,23 +108,22 @@ def mix_sources(df: DataFrame, key: str, size: str, sources: str, targets: DataF
     counts as 0, a null or negative number of uses as 0.  A source whose tokens
     times its uses don't reach its target gives all it has and is ``short``.
     Repeated keys are documents of their own.  ``targets`` is a parameter table
-    of one row a source; patterns of sources may number ``max_patterns``.
+    of one row a source.  The driver receives a row for each pattern of its
+    sources that occurs, at most ``2 ** sources - 1`` and no more than documents.
     """
     spark = df.sparkSession
     wanted = {r[0]: (float(r[1] or 0.0), max(int(r[2] or 0), 0)) for r in targets.collect() if r[0] is not None}
     kind = dict(df.dtypes)[sources]
     held = F.col(f"`{sources}`") if kind.startswith("array") else F.when(F.col(f"`{sources}`").isNotNull(), F.array(F.col(f"`{sources}`").cast("string")))
     rows = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)).alias("n"), F.array_sort(F.array_distinct(F.array_compact(held))).alias("pattern")).where("size(pattern) > 0")
-    rows = cut_lineage(rows)
-    by_pattern = rows.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("d")).limit(max_patterns + 1).collect()
-    if len(by_pattern) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns of sources")
+    # Sources without a target only count in the total.
+    rows = cut_lineage(rows.withColumn("pattern", F.filter("pattern", lambda s: s.isin(*wanted) if wanted else F.lit(False))))
+    by_pattern = rows.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()
     total = sum(r.n for r in by_pattern)
     known: dict[tuple[str, ...], int] = {}
     for r in by_pattern:
-        p = tuple(s for s in r.pattern if s in wanted)
-        if p and r.n > 0:
-            known[p] = known.get(p, 0) + r.n
+        if r.pattern and r.n > 0:
+            known[tuple(r.pattern)] = r.n
     flows = route(known, wanted, total)
 
     plan, offset = [], dict.fromkeys(known, 0)
@@ -134,7 +133,7 @@ def mix_sources(df: DataFrame, key: str, size: str, sources: str, targets: DataF
             offset[p] = (offset[p] + f) % known[p]
     arcs = spark.createDataFrame(plan, "pattern array<string>, source string, begin bigint, tokens bigint, length bigint")
 
-    ours = rows.select("key", "n", F.filter("pattern", lambda s: s.isin(*wanted) if wanted else F.lit(False)).alias("pattern")).where("size(pattern) > 0 and n > 0")
+    ours = rows.where("size(pattern) > 0 and n > 0")
     order = ours.withColumn("h", F.xxhash64(F.lit(seed), F.col("key").cast("string"))).withColumn("slot", F.pmod("h", F.lit(circle)))
     slots = order.groupBy("pattern", "slot").agg(F.sum("n").alias("n"))
     before = slots.select("pattern", "slot", (F.sum("n").over(Window.partitionBy("pattern").orderBy("slot")) - F.col("n")).alias("before"))
@@ -147,8 +146,7 @@ def mix_sources(df: DataFrame, key: str, size: str, sources: str, targets: DataF
     has = {s: (0, 0) for s in wanted}
     for r in by_pattern:
         for s in r.pattern:
-            if s in has:
-                has[s] = (has[s][0] + r.d, has[s][1] + r.n)
+            has[s] = (has[s][0] + r.d, has[s][1] + r.n)
     got = {s: sum(f for (_, x), f in flows.items() if x == s) for s in wanted}
     lines = [(s, w, m, has[s][0], has[s][1], has[s][1] * m, w * total, got[s], got[s] < w * total) for s, (w, m) in sorted(wanted.items())]
     facts = spark.createDataFrame(lines, "source string, weight double, max_uses int, documents bigint, tokens bigint, capacity bigint, target double, chosen bigint, short boolean")
