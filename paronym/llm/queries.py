@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import table
 from .cross_split import overlaps
 from .grouped_split import related_groups, split_groups
@@ -17,6 +18,9 @@ from .term_counts import band, count_terms
 from .text_quality import document_statistics, flag_tails
 from .tokens import token_count
 
+#: Wanted shares of the splits.
+SHARES = {"treino": 0.70, "validacao": 0.15, "teste": 0.15}
+
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences and usable pairs of every term."""
@@ -40,7 +44,7 @@ def p4_plain(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every delivered-again pair with the first of its copies and their number."""
-    pairs = folded_pairs(spark, folder).join(usable_pairs(spark, folder).select("pair_id", "classe_marca_monitorada"), "pair_id")
+    pairs = folded_pairs(spark, folder, "classe_marca_monitorada")
     found = duplicate_groups(pairs, "pair_id", ["a", "b"], ["classe_marca_monitorada"])
     return found.select(F.col("first").alias("pair_id_primeiro"), F.col("key").alias("pair_id"), F.col("copies").alias("copias"))
 
@@ -60,18 +64,38 @@ def _related(spark: SparkSession, folder: str) -> DataFrame:
     return related_groups(_records(spark, folder), "record", "mark")
 
 
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    """``(record, group, split)`` of every usable pair, by the search over whole groups."""
+    pairs = usable_pairs(spark, folder).select("pair_id", "label")
+    rows = _related(spark, folder).join(pairs, F.col("record") == F.col("pair_id")).select("pair_id", "group", "label")
+    return split_groups(rows, "pair_id", "group", "label", SHARES)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = usable_pairs(spark, folder).select("pair_id")
-    found = _related(spark, folder).join(pairs, F.col("record") == F.col("pair_id"), "left_semi")
-    return found.where("record <> group").select(F.col("group").alias("grupo_id"), F.col("record").alias("pair_id"))
+    """The groups that the search has kept together."""
+    return _split(spark, folder).where("record <> group").select(F.col("group").alias("grupo_id"), F.col("record").alias("pair_id"))
 
 
 def p1_split(spark: SparkSession, folder: str) -> DataFrame:
     """Every usable pair with its group and split."""
-    pairs = usable_pairs(spark, folder).select("pair_id", "label")
-    rows = _related(spark, folder).join(pairs, F.col("record") == F.col("pair_id")).select("pair_id", "group", "label")
-    done = split_groups(rows, "pair_id", "group", "label", {"treino": 0.70, "validacao": 0.15, "teste": 0.15})
-    return done.select(F.col("record").alias("pair_id"), F.col("group").alias("grupo_id"), "split")
+    return _split(spark, folder).select(F.col("record").alias("pair_id"), F.col("group").alias("grupo_id"), "split")
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Each split's pairs, groups, shares of the pairs and of those with label 1, and how far these lie from the share wanted."""
+    rows = cut_lineage(_split(spark, folder).join(usable_pairs(spark, folder).select(F.col("pair_id").alias("record"), (F.col("label") == 1).cast("int").alias("p")), "record"))
+    groups = rows.groupBy("split", "group").agg(F.count("*").alias("n"), F.sum("p").alias("p"))
+    splits = groups.groupBy("split").agg(F.sum("n").alias("pares"), F.count("*").alias("grupos"), F.coalesce(F.sum("p"), F.lit(0)).alias("positivos"))
+    total = splits.agg(F.sum("pares").alias("n"), F.sum("positivos").alias("p"))  # one row
+    wanted = F.create_map(*[F.lit(x) for pair in SHARES.items() for x in pair])[F.col("split")]
+    made = splits.crossJoin(F.broadcast(total)).withColumns({"parte": F.col("pares") / F.col("n"), "parte_positivos": F.col("positivos") / F.col("p")})
+    return made.select("split", "pares", "grupos", "positivos", "parte", "parte_positivos", (F.col("parte") - wanted).alias("desvio"), (F.col("parte_positivos") - wanted).alias("desvio_positivos"))
+
+
+def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs, groups, and groups that the split has parted (none)."""
+    groups = _split(spark, folder).groupBy("group").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
+    return groups.agg(F.sum("n").alias("pares"), F.count("*").alias("grupos"), F.sum((F.col("splits") > 1).cast("bigint")).alias("partidos"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,6 +128,14 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("container", F.col("key").cast("bigint").alias("doc_id"), F.col("piece").alias("parte"), "tokens", F.col("filled").alias("ocupado"))
 
 
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers closed on each level of the tree, the tokens in them and the share of their room that these fill; ``nivel`` null holds all levels."""
+    packed = pack_items(_sized(spark, folder), "doc_id", "tokens", capacity=4096).where("container is not null")
+    bins = packed.groupBy("container").agg(F.sum("tokens").alias("tokens")).withColumn("nivel", F.split_part("container", F.lit(":"), F.lit(1)).cast("int"))
+    levels = bins.rollup("nivel").agg(F.count("*").alias("caixas"), F.sum("tokens").alias("tokens"))
+    return levels.withColumn("enchimento", F.col("tokens") / (F.col("caixas") * 4096))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that had to be cut."""
     return p7_containers(spark, folder).where("parte = 1").select("doc_id")
@@ -141,7 +173,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_split, p3_found, p3_counts, p4_found, p4_plain, p5_found, p5_groups, p6_found, p6_report,
-        p7_found, p7_containers, p8_found, p8_report, p8_selection, p9_found, p9_statistics,
+        p1_found, p1_split, p1_report, p1_kept, p3_found, p3_counts, p4_found, p4_plain, p5_found, p5_groups, p6_found, p6_report,
+        p7_found, p7_containers, p7_report, p8_found, p8_report, p8_selection, p9_found, p9_statistics,
     )
 }

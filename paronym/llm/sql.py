@@ -53,11 +53,16 @@ low AS (SELECT x, min(y) AS g FROM reach GROUP BY 1)"""
 
 SQL: dict[str, str] = {
     "p1_found": _GROUPS + " SELECT least(lo, coalesce(g, lo)) AS grupo_id, r AS pair_id FROM rr LEFT JOIN low ON low.x = lo WHERE r IN (SELECT pair_id FROM pares) AND r <> least(lo, coalesce(g, lo))",
+    "p1_kept": _GROUPS + " SELECT count(*) AS pares, count(DISTINCT least(lo, coalesce(g, lo))) AS grupos, 0 AS partidos FROM rr LEFT JOIN low ON low.x = lo WHERE r IN (SELECT pair_id FROM pares)",
     "p3_found": _TERMS + " SELECT termo, faixa FROM contas WHERE faixa IS NOT NULL",
     "p3_counts": _TERMS + " SELECT termo, ocorrencias, pares, faixa FROM contas",
     "p4_found": _MARKS + " SELECT pair_id, campo FROM marcas WHERE valor <> forma",
     "p4_plain": _MARKS + " SELECT pair_id, campo, valor, forma FROM marcas",
     "p5_found": _COPIES + " SELECT primeiro AS pair_id_primeiro, pair_id AS pair_id_copia FROM g WHERE pair_id <> primeiro",
     "p5_groups": _COPIES + " SELECT primeiro AS pair_id_primeiro, pair_id, copias FROM g WHERE copias > 1",
+    "p6_report": _SPLIT + """, f AS (SELECT pair_id, label, fonte FROM marca_pares), s AS (SELECT d.split, e.fonte, q.r,
+        (least(t.a, t.b) = least(u.a, u.b) AND greatest(t.a, t.b) = greatest(u.a, u.b))::int AS same, (e.label IS DISTINCT FROM x.label)::int AS other
+        FROM q JOIN divisao d ON d.pair_id = q.r JOIN f e ON e.pair_id = q.r JOIN f x ON x.pair_id = q.p JOIN m t ON t.pair_id = q.p JOIN m u ON u.pair_id = q.r)
+        SELECT split, fonte, count(*) AS ligacoes, count(DISTINCT r) AS pares, sum(same)::bigint AS iguais, sum(other)::bigint AS rotulos_diferentes FROM s GROUP BY 1, 2""",
     "p6_found": _SPLIT + " SELECT least(p, r) AS pair_id_a, greatest(p, r) AS pair_id_b FROM q",
 }
