@@ -22,15 +22,15 @@ from ..session import cut_lineage
 #: Blanks that don't belong to a value; written out, as Java and Python disagree on what ``\\s`` is.
 BLANKS = " \t\n\r\x0b\x0c\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-# Candidates by name, as patterns that Java and Python read alike.
+# Candidates by name, as patterns that Java and Python read alike; the sign comes first, so that few places are looked at twice.
 CANDIDATES = {
     "semicolon": ";",
     "bar": "\\|",
     "tab": "\\t",
     "line break": "\\r\\n|[\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029]",
     "bullet": "[\\u2022\\u2023\\u2043\\u2219\\u25aa\\u25ab\\u25cf\\u25e6]",
-    "spaced slash": f"(?<=[{BLANKS}])/(?=[{BLANKS}])",
-    "spaced dash": f"(?<=[{BLANKS}])[-\\u2013\\u2014](?=[{BLANKS}])",
+    "spaced slash": f"/(?<=[{BLANKS}]/)(?=[{BLANKS}])",
+    "spaced dash": f"[-\\u2013\\u2014](?<=[{BLANKS}][-\\u2013\\u2014])(?=[{BLANKS}])",
     "comma": ",",
 }
 #: Candidates that never part, whatever they score.
