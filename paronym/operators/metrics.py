@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def at_threshold(threshold: float) -> Column:
     return (F.col("score") >= threshold).cast("int")
@@ -32,23 +34,31 @@ def with_rates(cells: DataFrame) -> DataFrame:
     return made.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))
 
 
-def curve(scored: DataFrame) -> DataFrame:
-    """``(score, tp, fp, positives, negatives)``: what each distinct score as threshold lets through.
+def _in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` with ``cell``, the number of its range of the order.
+
+    Ranges come from a sample of the rows, so scores that bunch are cut apart,
+    and equal scores by what follows them in the order.  Written, because a
+    range's borders must be the same for all that read it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *order).withColumn("cell", F.spark_partition_id()))
+
+
+def curve(scored: DataFrame, *by: str) -> DataFrame:
+    """``(*by, score, tp, fp, positives, negatives, p, n)``: what each distinct score as threshold lets through, for each value of ``by``.
 
     Equal scores are summed first; the running sums are then taken in ranges of
     the score, whose totals are added, so no task orders all scores.
     """
-    spark = scored.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_score = scored.where("score is not null").groupBy("score").agg(F.sum("y").cast("bigint").alias("p"), F.sum(1 - F.col("y")).cast("bigint").alias("n"))
-    bounds = by_score.agg(F.min("score").alias("low"), F.max("score").alias("high"))
-    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * parts), F.lit(parts - 1))).otherwise(F.lit(0))
-    celled = by_score.crossJoin(F.broadcast(bounds)).select("score", "p", "n", cell.alias("cell"))
-    cells = celled.groupBy("cell").agg(F.sum("p").alias("cp"), F.sum("n").alias("cn"))
-    down = Window.orderBy(F.desc("cell"))  # as many rows as cells
-    above = cells.select("cell", (F.sum("cp").over(down) - F.col("cp")).alias("ap"), (F.sum("cn").over(down) - F.col("cn")).alias("an"), F.sum("cp").over(Window.partitionBy()).alias("positives"), F.sum("cn").over(Window.partitionBy()).alias("negatives"))
-    inside = Window.partitionBy("cell").orderBy(F.desc("score"))
-    return celled.join(F.broadcast(above), "cell").select("score", (F.col("ap") + F.sum("p").over(inside)).alias("tp"), (F.col("an") + F.sum("n").over(inside)).alias("fp"), "positives", "negatives", "p", "n")
+    by_score = scored.where("score is not null").groupBy(*by, "score").agg(F.sum("y").cast("bigint").alias("p"), F.sum(1 - F.col("y")).cast("bigint").alias("n"))
+    celled = _in_ranges(by_score, *by, F.desc("score"))
+    cells = celled.groupBy(*by, "cell").agg(F.sum("p").alias("cp"), F.sum("n").alias("cn"))
+    group = Window.partitionBy(*by)
+    up = group.orderBy("cell")  # as many rows as cells
+    above = cells.select(*by, "cell", (F.sum("cp").over(up) - F.col("cp")).alias("ap"), (F.sum("cn").over(up) - F.col("cn")).alias("an"), F.sum("cp").over(group).alias("positives"), F.sum("cn").over(group).alias("negatives"))
+    inside = Window.partitionBy(*by, "cell").orderBy(F.desc("score"))
+    return celled.join(F.broadcast(above), [*by, "cell"]).select(*by, "score", (F.col("ap") + F.sum("p").over(inside)).alias("tp"), (F.col("an") + F.sum("n").over(inside)).alias("fp"), "positives", "negatives", "p", "n")
 
 
 def roc_curve(scored: DataFrame) -> DataFrame:
@@ -70,12 +80,12 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return curve(scored).agg(F.when(both > 0, area / both).otherwise(F.lit(0.5)).alias("roc_auc"))
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
-    """``(average_precision)``: the step sum; with one class only the mean label."""
+def average_precision(scored: DataFrame, *by: str) -> DataFrame:
+    """``(*by, average_precision)``: the step sum; with one class only the mean label."""
     step = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    made = curve(scored).agg(step.alias("s"), F.max("positives").alias("np"), F.max("negatives").alias("nn"))
+    made = curve(scored, *by).groupBy(*by).agg(step.alias("s"), F.max("positives").alias("np"), F.max("negatives").alias("nn"))
     mean = F.coalesce(F.col("np") / (F.col("np") + F.col("nn")), F.lit(0.0))
-    return made.select(F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("s") / F.col("np")).otherwise(mean).alias("average_precision"))
+    return made.select(*by, F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("s") / F.col("np")).otherwise(mean).alias("average_precision"))
 
 
 def recall_at_precision(scored: DataFrame, precision: float = 0.9) -> DataFrame:
@@ -107,13 +117,9 @@ def best_threshold(scored: DataFrame, least_recall: float = 0.85) -> DataFrame:
 
 def ranks(scored: DataFrame, key: str = "pair_id") -> DataFrame:
     """Add ``k``, from 0, by falling score and rising key, and the number of rows ``rows``; ranges are ranked apart."""
-    spark = scored.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = scored.agg(F.min("score").alias("low"), F.max("score").alias("high"))
-    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * parts), F.lit(parts - 1))).otherwise(F.lit(0))
-    celled = scored.crossJoin(F.broadcast(bounds)).withColumn("cell", cell).drop("low", "high")
+    celled = _in_ranges(scored, F.desc("score"), key)
     sizes = celled.groupBy("cell").agg(F.count("*").alias("c"))
-    above = sizes.select("cell", (F.sum("c").over(Window.orderBy(F.desc("cell"))) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy()).alias("rows"))
+    above = sizes.select("cell", (F.sum("c").over(Window.orderBy("cell")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy()).alias("rows"))
     inside = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("score"), key)) - 1
     return celled.withColumn("inside", inside).join(F.broadcast(above), "cell").withColumn("k", F.col("before") + F.col("inside")).drop("cell", "inside", "before")
 
@@ -124,10 +130,21 @@ def deciles(scored: DataFrame, key: str = "pair_id") -> DataFrame:
     return ranks(scored, key).groupBy(d.alias("decile")).agg(F.min("score").alias("lowest"), F.max("score").alias("highest"), F.count("*").alias("pairs"), F.sum("y").alias("positives"), F.avg("y").alias("rate"))
 
 
-def score_distribution(scored: DataFrame) -> DataFrame:
-    """Per class: n, mean, population deviation and exact quantiles of the score."""
-    q = [F.percentile("score", F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)]
-    return scored.groupBy("y").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"), *q)
+def score_distribution(scored: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Per class: n, mean, population deviation and exact quantiles of the score, which come from the rows' ranks."""
+    made = None
+    for y in (0, 1):
+        ranked = ranks(scored.where(F.col("y") == y), key)
+        at = F.col("rows") - 1 - F.col("k")
+        quantiles = []
+        for p in (0.1, 0.25, 0.5, 0.75, 0.9):
+            place = F.lit(p) * (F.col("rows") - 1)
+            low, part = F.floor(place), place - F.floor(place)
+            weight = F.when(at == low, 1 - part).when(at == low + 1, part).otherwise(F.lit(0.0))
+            quantiles.append(F.sum(weight * F.col("score")).alias(f"p{int(p * 100)}"))
+        one = ranked.groupBy("y").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"), *quantiles)
+        made = one if made is None else made.unionByName(one)
+    return made
 
 
 def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -145,20 +145,20 @@ def permutation_importance(score, df: DataFrame, columns: list[str], key: str =
 
     ``score`` takes a frame with ``columns`` and adds ``score``; values are
     exchanged by joining each row with the row of the same place in another
-    hash order.
+    hash order.  All columns are tried in one job a repeat: each row stands once
+    for every column, with that column's value from the other row.
     """
     base = cut_lineage(df.select(key, "y", *columns))
     whole = average_precision(score(base)).first()[0]
-    out = []
-    places = cut_lineage(numbered(base.withColumn("all", F.lit(0)), key, ["all"], seed).select(key, "rank"))
-    for column in columns:
-        lost = 0.0
-        for r in range(repeats):
-            other = numbered(base.withColumn("all", F.lit(0)), key, ["all"], seed + 1 + r).select("rank", F.col(column).alias("moved"))
-            mixed = base.join(places.join(other, "rank").select(key, "moved"), key).withColumn(column, F.col("moved")).drop("moved")
-            lost += whole - average_precision(score(mixed)).first()[0]
-        out.append((column, lost / repeats))
-    return df.sparkSession.createDataFrame(out, "feature string, importance double")
+    own = numbered(base.withColumn("all", F.lit(0)), key, ["all"], seed).select("rank", key, "y", *columns)
+    tried = None
+    for r in range(repeats):
+        other = numbered(base.withColumn("all", F.lit(0)), key, ["all"], seed + 1 + r).select("rank", F.struct(*[F.col(c).alias(f"m{i}") for i, c in enumerate(columns)]).alias("other"))
+        each = own.join(other, "rank").withColumns({"feature": F.explode(F.array(*map(F.lit, columns))), "round": F.lit(r)})
+        moved = each.withColumns({c: F.when(F.col("feature") == c, F.col("other")[f"m{i}"]).otherwise(F.col(c)) for i, c in enumerate(columns)}).drop("rank", "other")
+        tried = moved if tried is None else tried.unionByName(moved)
+    lost = average_precision(score(tried).select("feature", "round", "y", "score"), "feature", "round")
+    return lost.groupBy("feature").agg((F.lit(whole) - F.avg("average_precision")).alias("importance"))
 
 
 def linear_attribution(member: Member, df: DataFrame, columns: list[str], baseline: dict[str, float], key: str = "pair_id") -> DataFrame:

@@ -8,6 +8,8 @@ inside.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,20 @@ def undersampled(df: DataFrame, key: str, label: str, ratio: int = 3, seed: int
     return made.where(keep).drop("rank", "of", "np")
 
 
-def _draws(df: DataFrame, key: str, wanted: Column, seed: int, within: list[str]) -> DataFrame:
-    """Rows drawn with replacement: draw ``i`` takes the row whose number a hash of ``i`` gives."""
+def _draws(df: DataFrame, key: str, wanted: Callable[[int], int], seed: int, within: list[str]) -> DataFrame:
+    """Rows drawn with replacement: draw ``i`` takes the row whose number a hash of ``i`` gives.
+
+    ``wanted`` gives the number of draws from a group's size; ``within`` are
+    labels, so the sizes are a few rows.  Draws are made in partitions, however many.
+    """
+    spark = df.sparkSession
     made = numbered(df, key, within, seed)
-    sizes = made.groupBy(*within).agg(F.max("of").alias("of"))
-    draws = sizes.withColumn("wanted", wanted).where("wanted > 0").select(*within, "of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("wanted") - 1)).alias("draw"))
-    drawn = draws.select(*within, "draw", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "draw", F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint"), F.col("of")).alias("rank"))
-    return drawn.join(made.drop("of"), [*within, "rank"]).drop("rank")
+    drawn = made.select(*within).limit(0).withColumns({"of": F.lit(0).cast("bigint"), "draw": F.lit(0).cast("bigint")})
+    for r in df.groupBy(*within).agg(F.count("*").alias("of")).collect():
+        group = [F.lit(r[w]).cast(df.schema[w].dataType).alias(w) for w in within]
+        drawn = drawn.unionByName(spark.range(max(wanted(r["of"]), 0)).select(*group, F.lit(r["of"]).cast("bigint").alias("of"), F.col("id").alias("draw")))
+    placed = drawn.select(*within, "draw", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "draw", F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint"), F.col("of")).alias("rank"))
+    return placed.join(made.drop("of"), [*within, "rank"]).drop("rank")
 
 
 def oversampled(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
@@ -59,17 +68,39 @@ def oversampled(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFram
     counts = df.agg(F.coalesce(F.sum((F.col(label) == 1).cast("int")), F.lit(0)).alias("np"), F.coalesce(F.sum((F.col(label) != 1).cast("int")), F.lit(0)).alias("nn")).first()
     if not counts.np:
         return df.withColumn("draw", F.lit(None).cast("bigint"))
-    positives = _draws(df.where(F.col(label) == 1), key, F.lit(counts.nn).cast("bigint"), seed, [label])
+    positives = _draws(df.where(F.col(label) == 1), key, lambda _: counts.nn, seed, [label])
     return df.where(F.col(label) != 1).withColumn("draw", F.lit(None).cast("bigint")).unionByName(positives.select(*df.columns, "draw"))
 
 
 def bootstrap(df: DataFrame, key: str, fraction: float = 1.0, seed: int = 42) -> DataFrame:
     """``fraction`` of the rows drawn with replacement; as many as there are where that would be under 10."""
-    size = F.floor(F.col("of") * fraction).cast("bigint")
-    made = _draws(df.withColumn("all", F.lit(0)), key, F.when(size < 10, F.col("of")).otherwise(size), seed, ["all"])
+    made = _draws(df.withColumn("all", F.lit(0)), key, lambda n: n if int(n * fraction) < 10 else int(n * fraction), seed, ["all"])
     return made.drop("all")
 
 
+def mixed_up(df: DataFrame, key: str, columns: list[str], label: str, alpha: float = 0.2, seed: int = 42) -> DataFrame:
+    """Each row blended with another: columns and label are ``w * own + (1 - w) * other``.
+
+    The other row is that of the same place in another hash order; the weight
+    comes from a hash by the inverse of the distribution function of Beta(alpha,
+    alpha) in the form ``u ** (1 / alpha) / (u ** (1 / alpha) + v ** (1 / alpha))``,
+    taken as 1 where both powers vanish.  The number of rows stays.
+    """
+    own = numbered(df.withColumn("all", F.lit(0)), key, ["all"], seed).drop("of", "all")
+    other = numbered(df.withColumn("all", F.lit(0)), key, ["all"], seed + 1).select("rank", F.struct(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate([*columns, label])]).alias("o"))
+    unit = lambda n: (F.conv(F.substring(order_hash(key, seed + n), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    x, y = F.pow(unit(2), F.lit(1 / alpha)), F.pow(unit(3), F.lit(1 / alpha))
+    w = F.when(x + y > 0, x / (x + y)).otherwise(F.lit(1.0))
+    blended = {c: F.col("w") * F.col(f"`{c}`").cast("double") + (1 - F.col("w")) * F.col("o")[f"v{i}"] for i, c in enumerate([*columns, label])}
+    return own.join(other, "rank").withColumn("w", w).withColumns(blended).select(*df.columns)
+
+
+def stratified_union(df: DataFrame, key: str, label: str, size: int, positives: int, seed: int = 42) -> DataFrame:
+    """``size`` rows of which ``positives`` have label 1, as far as there are, each part the first by hash order."""
+    part = lambda rows, n: hash_sample(rows, key, n, seed)
+    return part(df.where(F.col(label) == 1), positives).unionByName(part(df.where(F.col(label) != 1), size - positives))
+
+
 def class_weight(df: DataFrame, label: str) -> DataFrame:
     """``(pos_weight)``: negatives for each positive, no positive counting as one."""
     p, n = F.sum((F.col(label) == 1).cast("int")), F.sum((F.col(label) == 0).cast("int"))
