@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,3 +165,34 @@ def stem(word: str) -> str:
 @F.pandas_udf(T.StringType())
 def stems(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else stem(w))
+
+
+def gram_vector(text: str, dims: int, low: int = 3, high: int = 5) -> np.ndarray:
+    """Signed counts of the hashed character grams of a text padded by a blank on either side; zeros for a blank text."""
+    out = np.zeros(dims, np.float32)
+    if not text.strip():
+        return out
+    codes = np.frombuffer(f" {text.strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code = np.zeros(len(codes), np.uint64)
+    for n in range(1, high + 1):
+        if n > len(codes):
+            break
+        code = code[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(1)
+        if n >= low:
+            mixed = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            np.add.at(out, (mixed % np.uint64(dims)).astype(np.int64), np.where((mixed >> np.uint64(40)) & np.uint64(1), 1, -1).astype(np.float32))
+    return out
+
+
+def hashed_vector(text: Column, dims: int = 256, unit: bool = False) -> Column:
+    """The encoder that needs no model: a text's vector of hashed character grams, of length 1 if ``unit``; null is the empty text."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def encode(texts: pd.Series) -> pd.Series:
+        made = [gram_vector(t or "", dims) for t in texts]
+        if unit:
+            made = [v / n if (n := float(np.linalg.norm(v))) else v for v in made]
+        return pd.Series(made, dtype=object)
+
+    return encode(text)

@@ -96,13 +96,38 @@ def directional_score(df: DataFrame, left: str, right: str, out: str) -> DataFra
     return _settled(df, out, made).drop(*[x for x in df.columns if x.startswith(p)])
 
 
+_FIELDS = ("final", "driver", "orto", "fon", "token", "anagram", "fuzzy")
+
+
 def symmetric_score(df: DataFrame, left: str, right: str, out: str) -> DataFrame:
     """Add the score of two raw names as a struct ``out``: the best of all readings and directions, with ``via``.
 
     Names without digits are read as they are, in both directions.  With a digit
     in either, one side at a time has its numbers spelled digit by digit or as
-    cardinals.  The first of equals wins.
+    cardinals.  The first of equals wins.  Null is the empty name.  Two names
+    are scored once, however many rows hold them, in the readings that they have.
     """
+    if df.isStreaming:
+        return _symmetric_rowwise(df, left, right, out)
+    p = f"__{out}_"
+    keyed = df.withColumns({f"{p}l": F.coalesce(F.col(left), F.lit("")), f"{p}r": F.coalesce(F.col(right), F.lit(""))})
+    a, b = F.col(f"{p}l"), F.col(f"{p}r")
+    digits = has_digit(a) | has_digit(b)
+
+    def reading(i: int, x: Column, y: Column, via: str) -> Column:
+        return F.struct(F.lit(i).alias("i"), x.alias("x"), y.alias("y"), F.lit(via).alias("via"))
+
+    plain = F.array(reading(0, a, b, LITERAL), reading(1, b, a, LITERAL))
+    spelled = F.array(reading(0, digits_as_words(a), b, LITERAL), reading(1, numbers_as_words(a), b, CARDINAL), reading(2, digits_as_words(b), a, LITERAL), reading(3, numbers_as_words(b), a, CARDINAL))
+    tried = keyed.select(a, b).distinct().select(a, b, F.explode(F.when(digits, spelled).otherwise(plain)).alias("t")).select(a, b, F.col("t.i").alias("i"), F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.via").alias("via"))
+    scored = directional_score(tried, "x", "y", "s")
+    made = F.struct(*[F.col("s")[f].alias(f) for f in _FIELDS], F.col("via").alias("via"))
+    best = scored.groupBy(a, b).agg(F.max_by(made, F.struct(F.col("s")["final"].alias("f"), (-F.col("i")).alias("i"))).alias(out))
+    return keyed.join(best, [f"{p}l", f"{p}r"]).drop(f"{p}l", f"{p}r")
+
+
+def _symmetric_rowwise(df: DataFrame, left: str, right: str, out: str) -> DataFrame:
+    """``symmetric_score`` without an exchange, for streams: all four readings of each row stand side by side."""
     p = f"__{out}_"
     a, b = F.coalesce(F.col(left), F.lit("")), F.coalesce(F.col(right), F.lit(""))
     digits = has_digit(a) | has_digit(b)
@@ -129,7 +154,7 @@ def symmetric_score(df: DataFrame, left: str, right: str, out: str) -> DataFrame
     best = F.array(*[score(i) for i in range(4)])[F.col(f"{p}at")]
     name = F.array(*via)[F.col(f"{p}at")]
     df = _settled(df, f"{p}best", F.struct(best.alias("s"), name.alias("via")))
-    made = F.struct(*[F.col(f"{p}best.s")[f].alias(f) for f in ("final", "driver", "orto", "fon", "token", "anagram", "fuzzy")], F.col(f"{p}best.via").alias("via"))
+    made = F.struct(*[F.col(f"{p}best.s")[f].alias(f) for f in _FIELDS], F.col(f"{p}best.via").alias("via"))
     return df.withColumn(out, made).drop(*[x for x in df.columns if x.startswith(p)])
 
 

@@ -17,26 +17,27 @@ TEENS = ["dez", "onze", "doze", "treze", "quatorze", "quinze", "dezesseis", "dez
 NAMED_NUMBERS = {100: "cem", 1000000: "um milhao", 2024: "dois mil e vinte quatro"}
 
 # Function words that carry no identity in a name.
-STRUCTURAL_WORDS = """
-a o as os e da de do das dos no na nos nas em com por para ou que se ao aos the of for and to
-""".split()
+STRUCTURAL_WORDS = [
+    "a", "o", "as", "os", "e", "da", "de", "do", "das", "dos", "no", "na", "nos", "nas", "em", "com", "por", "para", "ou", "que", "se", "ao", "aos",
+    "the", "of", "for", "and", "to",
+]
 
 # Beginnings of stems that point to goods and to services.
-PRODUCT_ANCHORS = """
-produt merc fabric bebid alimen vest veicul moveis cosmet perfum calcad brinq eletronic veler cerveja vinho remed medic
-papel limpez saboner
-""".split()
-SERVICE_ANCHORS = """
-servic consult assess ensin educ formac transport armazen host saas softw publi marketing design agenc constru instala
-manut reparo represent
-""".split()
+PRODUCT_ANCHORS = [
+    "produt", "merc", "fabric", "bebid", "alimen", "vest", "veicul", "moveis", "cosmet", "perfum", "calcad", "brinq", "eletronic", "veler", "cerveja",
+    "vinho", "remed", "medic", "papel", "limpez", "saboner",
+]
+SERVICE_ANCHORS = [
+    "servic", "consult", "assess", "ensin", "educ", "formac", "transport", "armazen", "host", "saas", "softw", "publi", "marketing", "design",
+    "agenc", "constru", "instala", "manut", "reparo", "represent",
+]
 
 # Words of descriptions that say nothing, besides the stop words of the language.
-NOISE_WORDS = """
-comercio comercial atraves qualquer meio para uso fins servico servicos produto produtos outros outras tipo tipos
-destinado destinada destinados destinadas exceto inclui incluindo diversos varios variados preparacoes preparados
-fabricacao venda varejo atacado ramo
-""".split()
+NOISE_WORDS = [
+    "comercio", "comercial", "atraves", "qualquer", "meio", "para", "uso", "fins", "servico", "servicos", "produto", "produtos", "outros", "outras",
+    "tipo", "tipos", "destinado", "destinada", "destinados", "destinadas", "exceto", "inclui", "incluindo", "diversos", "varios", "variados",
+    "preparacoes", "preparados", "fabricacao", "venda", "varejo", "atacado", "ramo",
+]
 
 
 @lru_cache(maxsize=1)
@@ -208,10 +209,3 @@ def spec_stems(toks: Column) -> Column:
 def longest(toks: Column) -> Column:
     """The longest token, the first of equals; empty for none."""
     return F.aggregate(toks, F.lit(""), lambda s, t: F.when(F.length(t) > F.length(s), t).otherwise(s))
-
-
-def radical(toks: Column, generic: Column) -> Column:
-    """The longest informative token: of four characters or more, else any that isn't generic, else any."""
-    own = F.filter(toks, lambda t: ~F.array_contains(generic, t))
-    large = F.filter(own, lambda t: F.length(t) >= 4)
-    return F.when(F.size(large) > 0, longest(large)).when(F.size(own) > 0, longest(own)).otherwise(longest(toks))

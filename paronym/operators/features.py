@@ -7,12 +7,15 @@ order and names of the columns are pinned in ``feature_names``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import alignment, string_similarities
+from ..functions.arrow import alignment, hashed_vector, stems, string_similarities
 from ..functions.composite import DRIVERS, directional_score
 from ..functions.similarity import (
     anagram_similarity,
@@ -20,10 +23,12 @@ from ..functions.similarity import (
     common_substring,
     common_suffix,
     contains_other,
+    cosine,
     edit_similarity,
     hamming_similarity,
     jaccard,
     matches_words,
+    norm,
     overlap,
     phonetic_matches,
     phonetic_similarity,
@@ -31,6 +36,7 @@ from ..functions.similarity import (
     token_metrics,
 )
 from ..functions.text import (
+    NOISE_WORDS,
     activity_kind,
     base_form,
     char_ngrams,
@@ -48,35 +54,90 @@ from ..functions.text import (
     tokens,
 )
 from ..session import cut_lineage
-from .lookups import char_terms, name_lookup, term_counts, tfidf, tfidf_vectors, tfidf_vocabulary, vector_cosines, with_class_priors, word_terms
+from .lookups import char_terms, name_lookup, term_counts, tfidf_vectors, tfidf_vocabulary, vector_cosines, with_class_priors, word_terms
+
+
+def stop_words() -> list[str]:
+    """Words of descriptions that say nothing: those of the language, as Spark lists them, without accents, and of the trade."""
+    language = StopWordsRemover.loadDefaultStopWords("portuguese")
+    bare = ["".join(ch for ch in unicodedata.normalize("NFD", w) if not unicodedata.combining(ch)) for w in language]
+    return sorted({*language, *bare, *NOISE_WORDS})
+
+
+#: An encoder gives the vector column of a text column; ``unit`` asks for vectors of length 1.
+Encoder = Callable[..., Column]
 
 
 @dataclass(frozen=True)
 class Fitted:
-    """What the features look up: token frequencies, class-pair priors, the classes with a column of their own, and stop words."""
+    """What the features look up: token frequencies, class-pair priors, the classes with a column of their own, stop words of descriptions, term weights, an encoder.
+
+    The term weights ``(term, idf)`` of words and of characters are fitted on
+    the stemmed descriptions of both sides; without them they are fitted on the
+    pairs at hand.
+    """
 
     frequencies: DataFrame
     priors: DataFrame
     classes: tuple[int, ...]
     stop_words: tuple[str, ...] = ()
+    words: DataFrame | None = None
+    chars: DataFrame | None = None
+    encoder: Encoder = hashed_vector
 
 
 # Names of the columns by block.
-GRAPHIC = "levenshtein jaro jaro_winkler damerau jaccard_bigram jaccard_trigram overlap_trigram lcs_norm prefix_norm suffix_norm len_ratio len_diff_abs contains anagram".split()
-PHONETIC = "global_sim key_eq key_lev_sim after_dedup_eq token_mean token_max token_eq_share".split()
-TOKEN = ["n_tokens_a", "n_tokens_b", "n_tokens_diff", "n_tokens_common", "n_tokens_excl_a", "n_tokens_excl_b", "brand_word_exact_overlap_any", "brand_word_exact_overlap_count", "brand_cross_token_substring_len", "brand_cross_token_substring_norm", "brand_cross_token_cov_min", "tok_jaccard", "tok_overlap", "tok_fuzzy"]
-NUMERAL = ["num_has_digits", "num_orto_best", "num_orto_worst", "num_orto_spread", "num_fon_best", "num_fon_worst", "num_fon_spread"]
-COMPOSITE = "final orto fon token anagram fuzzy".split()
-DRIVER_COLUMNS = {"none": "geral", "orto": "ortografia", "fon": "fonética", "fuzzy": "aproximação", "overlap": "inclusão", "token": "palavras"}
-SPEC = "jaccard overlap n_common n_excl_a n_excl_b n_total_a n_total_b size_ratio size_diff_abs idf_avg_common".split()
-KIND = ["spec_same_activity_kind", "spec_any_misto", "spec_kind_a_produto", "spec_kind_a_servico", "spec_kind_b_produto", "spec_kind_b_servico"]
-INTERACTION = "nome_x_spec_word nome_x_spec_emb nome_x_spec_max nome_x_same_cls spec_x_same_cls nome_alto_e_spec_alta nome_alto_e_spec_baixa nome_baixo_e_spec_alta classe_diff_mas_emb_alto classe_igual_e_spec_proxima proxy_nome proxy_spec".split()
-GENERIC = ["name_generic_share_a", "name_generic_share_b", "name_generic_share_max", "name_unique_token_a", "name_unique_token_b", "shared_unique_count", "shared_unique_jaccard", "shared_token_idf_max", "shared_token_idf_mean", "shared_only_generics"]
-CONTAIN = "a_in_b b_in_a after_strip_a_in_b after_strip_b_in_a radical_share radical_share_norm".split()
-RADICAL = ["radical_a_len", "radical_b_len", "radical_lev_sim", "radical_phonetic_eq", "lev_pure_norm", "lev_pure_jaro_winkler", "lev_pure_size_diff_abs"]
-AGAINST = "distinct_market only_generic_overlap size_disparity unique_strong_a unique_strong_b".split()
-COSINE = ["spec_cosine_tfidf_word", "spec_cosine_tfidf_char", "spec_cosine_emb", "brand_emb_cosine", "brand_emb_cosine_normalized", "brand_emb_norm_max"]
-ADVANCED = ["spec_item_max_cosine_tfidf", "spec_item_top3_mean_cosine", "spec_item_align_score", "brand_a_token_in_spec_b", "brand_b_token_in_spec_a", "cls_pair_prior_pos", "cls_pair_chi2_strength", "brand_longest_common_substring_norm", "fon_concat_metaphone_eq", "brand_simhash_hamming_norm"]
+GRAPHIC = [
+    "graf_levenshtein", "graf_jaro", "graf_jaro_winkler", "graf_damerau", "graf_jaccard_bigram", "graf_jaccard_trigram", "graf_overlap_trigram",
+    "graf_lcs_norm", "graf_prefix_norm", "graf_suffix_norm", "graf_len_ratio", "graf_len_diff_abs", "graf_contains", "graf_anagram",
+]
+PHONETIC = [
+    "fon_global_sim", "fon_key_eq", "fon_key_lev_sim", "fon_after_dedup_eq", "fon_token_mean", "fon_token_max", "fon_token_eq_share",
+]
+TOKEN = [
+    "n_tokens_a", "n_tokens_b", "n_tokens_diff", "n_tokens_common", "n_tokens_excl_a", "n_tokens_excl_b", "brand_word_exact_overlap_any",
+    "brand_word_exact_overlap_count", "brand_cross_token_substring_len", "brand_cross_token_substring_norm", "brand_cross_token_cov_min",
+    "tok_jaccard", "tok_overlap", "tok_fuzzy",
+]
+NUMERAL = [
+    "num_has_digits", "num_orto_best", "num_orto_worst", "num_orto_spread", "num_fon_best", "num_fon_worst", "num_fon_spread",
+]
+#: Columns of the composite score and the fields that they hold; columns of what drives it.
+COMPOSITE = {"ofta_final": "final", "ofta_orto": "orto", "ofta_fon": "fon", "ofta_token": "token", "ofta_anagram": "anagram", "ofta_fuzzy": "fuzzy"}
+DRIVER_COLUMNS = {"none": "ofta_driver_geral", "orto": "ofta_driver_ortografia", "fon": "ofta_driver_fonética", "fuzzy": "ofta_driver_aproximação", "overlap": "ofta_driver_inclusão", "token": "ofta_driver_palavras"}
+SPEC = [
+    "spec_lex_jaccard", "spec_lex_overlap", "spec_lex_n_common", "spec_lex_n_excl_a", "spec_lex_n_excl_b", "spec_lex_n_total_a", "spec_lex_n_total_b",
+    "spec_lex_size_ratio", "spec_lex_size_diff_abs", "spec_lex_idf_avg_common",
+]
+KIND = [
+    "spec_same_activity_kind", "spec_any_misto", "spec_kind_a_produto", "spec_kind_a_servico", "spec_kind_b_produto", "spec_kind_b_servico",
+]
+INTERACTION = [
+    "inter_nome_x_spec_word", "inter_nome_x_spec_emb", "inter_nome_x_spec_max", "inter_nome_x_same_cls", "inter_spec_x_same_cls",
+    "inter_nome_alto_e_spec_alta", "inter_nome_alto_e_spec_baixa", "inter_nome_baixo_e_spec_alta", "inter_classe_diff_mas_emb_alto",
+    "inter_classe_igual_e_spec_proxima", "inter_proxy_nome", "inter_proxy_spec",
+]
+GENERIC = [
+    "name_generic_share_a", "name_generic_share_b", "name_generic_share_max", "name_unique_token_a", "name_unique_token_b", "shared_unique_count",
+    "shared_unique_jaccard", "shared_token_idf_max", "shared_token_idf_mean", "shared_only_generics",
+]
+CONTAIN = [
+    "contain_a_in_b", "contain_b_in_a", "contain_after_strip_a_in_b", "contain_after_strip_b_in_a", "contain_radical_share",
+    "contain_radical_share_norm",
+]
+RADICAL = [
+    "radical_a_len", "radical_b_len", "radical_lev_sim", "radical_phonetic_eq", "lev_pure_norm", "lev_pure_jaro_winkler", "lev_pure_size_diff_abs",
+]
+AGAINST = [
+    "against_distinct_market", "against_only_generic_overlap", "against_size_disparity", "against_unique_strong_a", "against_unique_strong_b",
+]
+COSINE = [
+    "spec_cosine_tfidf_word", "spec_cosine_tfidf_char", "spec_cosine_emb", "brand_emb_cosine", "brand_emb_cosine_normalized", "brand_emb_norm_max",
+]
+ADVANCED = [
+    "spec_item_max_cosine_tfidf", "spec_item_top3_mean_cosine", "spec_item_align_score", "brand_a_token_in_spec_b", "brand_b_token_in_spec_a",
+    "cls_pair_prior_pos", "cls_pair_chi2_strength", "brand_longest_common_substring_norm", "fon_concat_metaphone_eq", "brand_simhash_hamming_norm",
+]
 
 
 def class_columns(classes: tuple[int, ...]) -> list[str]:
@@ -87,9 +148,8 @@ def class_columns(classes: tuple[int, ...]) -> list[str]:
 def feature_names(classes: tuple[int, ...]) -> list[str]:
     """All columns in their order: 162 with 15 classes."""
     return [
-        *(f"graf_{x}" for x in GRAPHIC), *(f"fon_{x}" for x in PHONETIC), *TOKEN, *NUMERAL, *(f"ofta_{x}" for x in COMPOSITE),
-        *(f"ofta_driver_{x}" for x in DRIVER_COLUMNS.values()), *(f"spec_lex_{x}" for x in SPEC), *KIND, *class_columns(classes),
-        *(f"inter_{x}" for x in INTERACTION), *GENERIC, *(f"contain_{x}" for x in CONTAIN), *RADICAL, *(f"against_{x}" for x in AGAINST), *COSINE, *ADVANCED,
+        *GRAPHIC, *PHONETIC, *TOKEN, *NUMERAL, *COMPOSITE, *DRIVER_COLUMNS.values(), *SPEC, *KIND, *class_columns(classes), *INTERACTION, *GENERIC, *CONTAIN, *RADICAL, *AGAINST, *COSINE,
+        *ADVANCED,
     ]
 
 
@@ -105,6 +165,38 @@ def _num(c: Column) -> Column:
     return c.cast("double")
 
 
+def stemmed(texts: DataFrame, text: str, stop_words: tuple[str, ...]) -> DataFrame:
+    """``(text, stems, stem_text)`` of each distinct text: its words without stop words, stemmed, in order; and these joined by blanks.
+
+    Every distinct word is stemmed once.
+    """
+    each = texts.select(F.col(text)).distinct()
+    words = each.select(text, F.posexplode_outer(spec_tokens(F.col(text), list(stop_words) or ["\u0000"])).alias("p", "w"))
+    known = words.select("w").where("w is not null").distinct().withColumn("stem", stems("w"))
+    placed = words.join(known, "w", "left").groupBy(text).agg(F.array_sort(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("p", "stem")))).alias("x"))
+    listed = placed.select(text, F.transform("x", lambda x: x["stem"]).alias("stems"))
+    return listed.withColumn("stem_text", F.array_join("stems", " "))
+
+
+def with_stems(df: DataFrame, specs: DataFrame) -> DataFrame:
+    """Add ``sa_toks`` and ``sb_toks``, the stems of both descriptions."""
+    for s in "ab":
+        df = df.join(specs.select(F.col("spec").alias(f"spec_{s}"), F.col("stems").alias(f"s{s}_toks")), f"spec_{s}", "left")
+    return df
+
+
+def spec_stem_table(pairs: DataFrame, fitted: Fitted) -> DataFrame:
+    """``(spec, stems, stem_text)`` of every distinct description of either side."""
+    return stemmed(pairs.select(F.explode(F.array("spec_a", "spec_b")).alias("spec")), "spec", fitted.stop_words)
+
+
+def fit_term_weights(pairs: DataFrame, fitted: Fitted) -> Fitted:
+    """``fitted`` with the weights of words and characters of the stemmed descriptions of both sides, copies counted."""
+    texts = _descriptions(pairs, cut_lineage(spec_stem_table(pairs, fitted)))
+    weights = [cut_lineage(tfidf_vocabulary(*term_counts(texts, "spec", terms, "copies"), max_terms=size)) for terms, size in ((word_terms("spec"), 20_000), (char_terms("spec"), 10_000))]
+    return replace(fitted, words=weights[0], chars=weights[1])
+
+
 def with_forms(pairs: DataFrame) -> DataFrame:
     """Normal forms that several blocks share."""
     made = {}
@@ -126,7 +218,7 @@ def graphic(df: DataFrame) -> DataFrame:
         _share(common_prefix(a, b), top), _share(common_suffix(a, b), top), ratio(F.length(a), F.length(b)), _num(F.abs(F.length(a) - F.length(b))),
         _flag(contains_other(a, b)), anagram_similarity(F.col("a"), F.col("b")),
     ]
-    return df.withColumns({f"graf_{n}": c for n, c in zip(GRAPHIC, made)}).drop("e")
+    return df.withColumns(dict(zip(GRAPHIC, made))).drop("e")
 
 
 def phonetic(df: DataFrame) -> DataFrame:
@@ -135,7 +227,7 @@ def phonetic(df: DataFrame) -> DataFrame:
     ka, kb, pm = F.col("ka"), F.col("kb"), F.col("pm")
     near = F.lit(1.0) - F.levenshtein(ka, kb) / F.greatest(F.length(ka), F.length(kb), F.lit(1))
     made = [phonetic_similarity(F.col("a_base"), F.col("b_base")), _flag((ka == kb) & (ka != "")), near, _flag(collapse_repeats(a) == collapse_repeats(b)), pm["mean"], pm["max"], pm["equal_share"]]
-    return df.withColumns({f"fon_{n}": c for n, c in zip(PHONETIC, made)}).drop("pm")
+    return df.withColumns(dict(zip(PHONETIC, made))).drop("pm")
 
 
 def token_block(df: DataFrame) -> DataFrame:
@@ -169,13 +261,12 @@ def numeral(df: DataFrame) -> DataFrame:
 def composite(df: DataFrame) -> DataFrame:
     df = directional_score(df, "a_base", "b_base", "ofta")
     s = F.col("ofta")
-    made = {f"ofta_{x}": s[x] for x in COMPOSITE} | {f"ofta_driver_{name}": _flag(s["driver"] == DRIVERS[d]) for d, name in DRIVER_COLUMNS.items()}
+    made = {name: s[field] for name, field in COMPOSITE.items()} | {name: _flag(s["driver"] == DRIVERS[d]) for d, name in DRIVER_COLUMNS.items()}
     return df.withColumns(made).drop("ofta")
 
 
-def spec_block(df: DataFrame, fitted: Fitted) -> DataFrame:
-    stop = list(fitted.stop_words) or ["\u0000"]
-    df = df.withColumns({f"s{x}_toks": spec_tokens(F.col(f"spec_{x}"), stop) for x in "ab"})
+def spec_block(df: DataFrame) -> DataFrame:
+    """Words of the descriptions; ``sa_toks`` and ``sb_toks`` are the stems."""
     df = df.withColumns({f"s{x}": F.array_distinct(f"s{x}_toks") for x in "ab"} | {f"k{x}x": activity_kind(F.col(f"s{x}_toks")) for x in "ab"})
     a, b = F.col("sa"), F.col("sb")
     common = F.size(F.array_intersect(a, b))
@@ -189,7 +280,7 @@ def spec_block(df: DataFrame, fitted: Fitted) -> DataFrame:
     made = [jaccard(a, b), overlap(a, b), common, na - common, nb - common, na, nb, ratio(na, nb), F.abs(na - nb), F.coalesce("idf_mean", F.lit(0.0))]
     ka, kb = F.col("kax"), F.col("kbx")
     kinds = [(ka == kb) & (ka != "misto"), (ka == "misto") | (kb == "misto"), ka == "produto", ka == "servico", kb == "produto", kb == "servico"]
-    return df.withColumns({f"spec_lex_{n}": _num(c) for n, c in zip(SPEC, made)} | {n: _flag(c) for n, c in zip(KIND, kinds)}).drop("idf_mean", "kax", "kbx")
+    return df.withColumns({n: _num(c) for n, c in zip(SPEC, made)} | {n: _flag(c) for n, c in zip(KIND, kinds)}).drop("idf_mean", "kax", "kbx")
 
 
 def class_block(df: DataFrame, fitted: Fitted) -> DataFrame:
@@ -224,7 +315,7 @@ def generic_block(df: DataFrame, fitted: Fitted) -> DataFrame:
     ja, jb = F.array_join(ia, ""), F.array_join(ib, "")
     prefix = common_prefix(a, b)
     contain = [(a != "") & F.contains(b, a), (b != "") & F.contains(a, b), (ja != "") & F.contains(jb, ja), (jb != "") & F.contains(ja, jb), prefix, prefix / F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))]
-    df = df.withColumns({f"contain_{n}": _num(c) for n, c in zip(CONTAIN, contain)})
+    df = df.withColumns({n: _num(c) for n, c in zip(CONTAIN, contain)})
 
     def radical(own: Column, every: Column) -> Column:
         large = F.filter(own, lambda t: F.length(t) >= 4)
@@ -247,22 +338,24 @@ def generic_block(df: DataFrame, fitted: Fitted) -> DataFrame:
     return df.withColumns({n: _num(c) for n, c in zip(RADICAL, pure)} | against).drop("ra", "rb", "pa", "pb", "jr", "jp", "sh", "n_shared")
 
 
-def _descriptions(df: DataFrame) -> DataFrame:
-    """``(spec, copies)``: each distinct description and how many of both sides have it."""
-    return df.select(F.explode(F.array("spec_a", "spec_b")).alias("spec")).groupBy("spec").agg(F.count("*").alias("copies"))
+def _descriptions(df: DataFrame, specs: DataFrame) -> DataFrame:
+    """``(spec, copies)``: each distinct stemmed description and how many of both sides have it."""
+    both = df.select(F.explode(F.array("spec_a", "spec_b")).alias("spec")).groupBy("spec").agg(F.count("*").alias("n"))
+    return both.join(specs, "spec").groupBy(F.col("stem_text").alias("spec")).agg(F.sum("n").alias("copies"))
 
 
-def item_matches(df: DataFrame, key: str = "pair_id") -> DataFrame:
-    """``(key, best, top3, aligned)`` of the character cosines between the items of both descriptions.
+def item_matches(df: DataFrame, fitted: Fitted, key: str = "pair_id") -> DataFrame:
+    """``(key, best, top3, aligned)`` of the character cosines between the stemmed items of both descriptions.
 
-    The vocabulary is that of ``spec_cosine_tfidf_char``, fitted on all
-    descriptions.  Items are weighted once a distinct text; cosines are an equi-join on pair
-    and term, so items without a common term cost nothing.
+    Items without a stem are dropped.  They are weighted by the fitted
+    characters, once a distinct text; cosines are an equi-join on pair and term,
+    so items without a common term cost nothing.
     """
-    items = df.select(key, F.posexplode(spec_items(F.col("spec_a"))).alias("p", "item")).withColumn("side", F.lit("a")).unionByName(df.select(key, F.posexplode(spec_items(F.col("spec_b"))).alias("p", "item")).withColumn("side", F.lit("b")))
-    texts = items.select("item").distinct()
-    vocabulary = tfidf_vocabulary(*term_counts(_descriptions(df), "spec", char_terms("spec"), "copies"), max_terms=10_000)
-    vectors = tfidf_vectors(term_counts(texts, "item", char_terms("item"))[0], vocabulary)
+    fitted = fit_term_weights(df, fitted) if fitted.chars is None else fitted
+    raw = df.select(key, F.posexplode(spec_items(F.col("spec_a"))).alias("p", "raw")).withColumn("side", F.lit("a")).unionByName(df.select(key, F.posexplode(spec_items(F.col("spec_b"))).alias("p", "raw")).withColumn("side", F.lit("b")))
+    known = cut_lineage(stemmed(raw, "raw", fitted.stop_words).where("stem_text <> ''").select("raw", F.col("stem_text").alias("item")))
+    items = cut_lineage(raw.join(known, "raw").select(key, "side", "item", (F.row_number().over(Window.partitionBy(key, "side").orderBy("p")) - 1).alias("p")))
+    vectors = tfidf_vectors(term_counts(known.select("item").distinct(), "item", char_terms("item"))[0], fitted.chars)
     weighted = items.join(vectors.withColumnRenamed("ident", "item"), "item")
     a = weighted.where("side = 'a'").select(key, F.col("p").alias("r"), "term", F.col("weight").alias("wa"))
     b = weighted.where("side = 'b'").select(key, F.col("p").alias("c"), "term", F.col("weight").alias("wb"))
@@ -276,27 +369,54 @@ def item_matches(df: DataFrame, key: str = "pair_id") -> DataFrame:
     return found.select(key, F.array_max("flat").alias("best"), (F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.size(top)).alias("top3"), alignment("n", "m", "flat").alias("aligned"))
 
 
-def cosine_block(df: DataFrame) -> DataFrame:
-    """Cosines of the descriptions; without an encoder those of embeddings are 0."""
-    texts = _descriptions(df)
-    for name, terms, size in (("spec_cosine_tfidf_word", word_terms("spec"), 20_000), ("spec_cosine_tfidf_char", char_terms("spec"), 10_000)):
-        _, vectors = tfidf(texts, "spec", terms, max_terms=size, copies="copies")
-        found = vector_cosines(df.select("pair_id", "spec_a", "spec_b"), "pair_id", "spec_a", "spec_b", vectors)
-        df = df.join(found.withColumnRenamed("cosine", name), "pair_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    return df.withColumns({c: F.lit(0.0) for c in COSINE[2:]})
+def encoded(texts: DataFrame, text: str, encoder: Encoder, unit: bool = False) -> DataFrame:
+    """``(text, vector)`` of each distinct text."""
+    return texts.select(F.col(text)).distinct().withColumn("vector", encoder(F.col(text), unit=unit))
+
+
+def _vector_cosines(df: DataFrame, vectors: DataFrame, a: str, b: str, out: str, longest_norm: str | None = None) -> DataFrame:
+    va, vb = (vectors.select(F.col(vectors.columns[0]).alias(c), F.col("vector").alias(f"v{i}")) for i, c in enumerate((a, b)))
+    made = df.join(va, a, "left").join(vb, b, "left").withColumn(out, F.coalesce(cosine(F.col("v0"), F.col("v1")), F.lit(0.0)))
+    if longest_norm:
+        made = made.withColumn(longest_norm, F.coalesce(F.greatest(norm(F.col("v0")), norm(F.col("v1"))), F.lit(0.0)))
+    return made.drop("v0", "v1")
+
+
+#: Characters of a name that an encoder sees.
+ENCODED = 200
+
+
+def cosine_block(df: DataFrame, specs: DataFrame, fitted: Fitted) -> DataFrame:
+    """Cosines of the stemmed descriptions, by words, by characters and by the encoder's vectors, and of the names' vectors."""
+    pairs = df.select("pair_id", "spec_a", "spec_b", "a", "b", "a_base", "b_base")
+    texts = specs.select("spec", "stem_text")
+    for s in "ab":
+        pairs = pairs.join(texts.select(F.col("spec").alias(f"spec_{s}"), F.col("stem_text").alias(f"t{s}")), f"spec_{s}", "left")
+    pairs = cut_lineage(pairs.drop("spec_a", "spec_b"))
+    distinct = texts.select("stem_text").distinct()
+    made = pairs
+    for name, terms, vocabulary in (("spec_cosine_tfidf_word", word_terms("stem_text"), fitted.words), ("spec_cosine_tfidf_char", char_terms("stem_text"), fitted.chars)):
+        vectors = tfidf_vectors(term_counts(distinct, "stem_text", terms)[0], vocabulary)
+        found = vector_cosines(pairs, "pair_id", "ta", "tb", vectors)
+        made = made.join(found.withColumnRenamed("cosine", name), "pair_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    made = _vector_cosines(made, encoded(distinct, "stem_text", fitted.encoder, unit=True), "ta", "tb", "spec_cosine_emb")
+    for columns, out, length in ((("a", "b"), "brand_emb_cosine", "brand_emb_norm_max"), (("a_base", "b_base"), "brand_emb_cosine_normalized", None)):
+        cut = made.withColumns({f"x{i}": F.substring(c, 1, ENCODED) for i, c in enumerate(columns)})
+        names = pairs.select(F.explode(F.array(*[F.substring(c, 1, ENCODED) for c in columns])).alias("name"))
+        made = _vector_cosines(cut, encoded(names, "name", fitted.encoder), "x0", "x1", out, length).drop("x0", "x1")
+    return made.select("pair_id", *COSINE)
 
 
 def advanced(df: DataFrame, fitted: Fitted) -> DataFrame:
     """Item matches, names in descriptions, class priors, concatenated names; ``ia`` and ``ib`` are the informative tokens."""
-    stop = list(fitted.stop_words) or ["\u0000"]
-    df = df.join(item_matches(df.select("pair_id", "spec_a", "spec_b")), "pair_id", "left")
+    df = df.join(item_matches(df.select("pair_id", "spec_a", "spec_b"), fitted), "pair_id", "left")
     df = with_class_priors(df, fitted.priors)
-    stems = {s: spec_stems(spec_tokens(F.col(f"spec_{s}"), stop)) for s in "ab"}
+    own = {s: spec_stems(F.col(f"s{s}_toks")) for s in "ab"}
     anchored = lambda mine, words: F.size(F.filter(F.filter(mine, lambda t: F.length(t) >= 4), lambda t: matches_words(t, words)))
     a, b = F.col("a_compact"), F.col("b_compact")
     zero = F.lit(0.0)
     made = [
-        F.coalesce("best", zero), F.coalesce("top3", zero), F.coalesce("aligned", zero), anchored(F.col("ia"), stems["b"]), anchored(F.col("ib"), stems["a"]),
+        F.coalesce("best", zero), F.coalesce("top3", zero), F.coalesce("aligned", zero), anchored(F.col("ia"), own["b"]), anchored(F.col("ib"), own["a"]),
         F.col("prior"), F.col("strength"), common_substring(a, b) / F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)),
         _flag((phonetic_key(a) == phonetic_key(b)) & (a != "") & (b != "")), hamming_similarity(simhash64(a), simhash64(b)),
     ]
@@ -311,7 +431,35 @@ def interactions(df: DataFrame) -> DataFrame:
         _flag((n <= 0.40) & (s >= 0.60)), (1 - same) * emb, same * s, n, s,
     ]
     market = _flag((F.col("class_a") >= 0) & (F.col("class_b") >= 0) & (F.col("class_a") != F.col("class_b")) & (emb < 0.30))
-    return df.withColumns({f"inter_{x}": c for x, c in zip(INTERACTION, made)} | {"against_distinct_market": market})
+    return df.withColumns(dict(zip(INTERACTION, made)) | {"against_distinct_market": market})
+
+
+BLOCKS = ("graphic", "phonetic", "token", "numeral", "composite", "spec", "class", "generic", "cosine", "advanced")
+
+
+def prepared(pairs: DataFrame, fitted: Fitted) -> tuple[DataFrame, DataFrame, Fitted]:
+    """The pairs with the forms that blocks share, the stems of every description, and ``fitted`` with term weights."""
+    specs = cut_lineage(spec_stem_table(pairs, fitted))
+    if fitted.words is None or fitted.chars is None:
+        fitted = fit_term_weights(pairs, fitted)
+    return cut_lineage(with_stems(with_forms(pairs), specs)), specs, fitted
+
+
+def feature_block(name: str, forms: DataFrame, specs: DataFrame, fitted: Fitted, generic: DataFrame | None = None) -> DataFrame:
+    """One of ``BLOCKS`` as ``(pair_id, *columns)``; ``generic`` brings informative tokens and gives them to ``advanced``."""
+    if name == "cosine":
+        return cosine_block(forms, specs, fitted)
+    if name == "advanced":
+        held = feature_block("generic", forms, specs, fitted) if generic is None else generic
+        made = advanced(forms.join(held.select("pair_id", "ia", "ib"), "pair_id"), fitted)
+    else:
+        made = {
+            "graphic": graphic, "phonetic": phonetic, "token": token_block, "numeral": numeral, "composite": composite, "spec": spec_block,
+            "class": lambda d: class_block(d, fitted), "generic": lambda d: generic_block(d, fitted),
+        }[name](forms)
+    names = feature_names(fitted.classes)
+    more = ["ia", "ib"] if name == "generic" else []
+    return made.select("pair_id", *[F.col(f"`{c}`") for c in made.columns if c in names], *more)
 
 
 def enriched(pairs: DataFrame, fitted: Fitted) -> DataFrame:
@@ -320,16 +468,12 @@ def enriched(pairs: DataFrame, fitted: Fitted) -> DataFrame:
     Every block is written once and the blocks meet by key: one plan of all of
     them would take longer to optimize than to run.
     """
-    names = feature_names(fitted.classes)
-    forms = cut_lineage(with_forms(pairs))
-
-    def block(made: DataFrame, *more: str) -> DataFrame:
-        return cut_lineage(made.select("pair_id", *[F.col(f"`{c}`") for c in made.columns if c in names and c not in forms.columns], *more))
-
-    parts = [block(f(forms)) for f in (graphic, phonetic, token_block, numeral, composite, cosine_block)]
-    parts += [block(spec_block(forms, fitted)), block(class_block(forms, fitted)), block(generic_block(forms, fitted), "ia", "ib")]
-    parts.append(block(advanced(forms.join(parts[-1].select("pair_id", "ia", "ib"), "pair_id"), fitted)))
-    df = forms
-    for part in parts:
+    forms, specs, fitted = prepared(pairs, fitted)
+    df, generic = pairs, None
+    for name in BLOCKS:
+        part = cut_lineage(feature_block(name, forms, specs, fitted, generic))
+        if name == "generic":
+            generic = part
+            part = part.drop("ia", "ib")
         df = df.join(part, "pair_id")
-    return interactions(df).select(*pairs.columns, *[F.col(f"`{c}`") for c in names])
+    return interactions(df).select(*pairs.columns, *[F.col(f"`{c}`") for c in feature_names(fitted.classes)])

@@ -74,17 +74,21 @@ def model_attribution(spark: SparkSession, folder: str) -> DataFrame:
     return md.linear_attribution(member, test, COLUMNS, dict.fromkeys(COLUMNS, 0.0))
 
 
+def _fitted(pairs: DataFrame) -> ft.Fitted:
+    top = tuple(r.classe for r in pr.top_classes(pairs).collect())  # 15 rows
+    return ft.Fitted(lk.token_frequencies(pairs), lk.class_pair_priors(pairs), top, tuple(ft.stop_words()))
+
+
 def enriched_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """All features of every pair."""
     pairs = clean(spark, folder)
-    top = tuple(r.classe for r in pr.top_classes(pairs).collect())  # 15 rows
-    fitted = ft.Fitted(lk.token_frequencies(pairs), lk.class_pair_priors(pairs), top, tuple(tx.NOISE_WORDS))
-    return ft.enriched(pairs, fitted).drop("a", "b", "spec_a", "spec_b")
+    return ft.enriched(pairs, _fitted(pairs)).drop("a", "b", "spec_a", "spec_b")
 
 
 def item_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Best, mean of the three best and aligned cosines of the items of both descriptions."""
-    return ft.item_matches(clean(spark, folder).select("pair_id", "spec_a", "spec_b"))
+    pairs = clean(spark, folder)
+    return ft.item_matches(pairs.select("pair_id", "spec_a", "spec_b"), _fitted(pairs))
 
 
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:

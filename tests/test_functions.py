@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from paronym.functions import arrow as ar
 from paronym.functions import similarity as sim
 from paronym.functions import text as tx
-from paronym.functions.composite import CARDINAL, likeness, symmetric_score
+from paronym.functions.composite import CARDINAL, _symmetric_rowwise, likeness, symmetric_score
 
 
 def _one(spark, values, *columns):
@@ -29,12 +29,13 @@ def test_phonetic_keys(spark, word, key):
 
 def test_scores_of_known_pairs(spark):
     rows = [("barbatto", "barbato"), ("caravvvela", "caravela"), ("pharmacia", "farmácia"), ("bionova", "novabio"), ("axys", "axis consultoria"), ("casa 100", "casa cem"), ("", "x"), (None, "x"), ("", "")]
-    df = spark.createDataFrame(rows, "m1 string, m2 string")
-    s = [r.s for r in symmetric_score(df, "m1", "m2", "s").collect()]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, m1 string, m2 string")
+    s = [r.s for r in symmetric_score(df, "m1", "m2", "s").orderBy("i").collect()]
+    assert s == [r.s for r in _symmetric_rowwise(df, "m1", "m2", "s").orderBy("i").collect()]  # what streams take
     assert s[0]["final"] == pytest.approx(1.0) and s[1]["final"] == pytest.approx(1.0)
     assert s[2]["final"] > 0.9 and s[3]["final"] >= 0.6 and s[4]["final"] > 0.5
     assert s[5]["final"] == pytest.approx(1.0) and s[5]["via"] == CARDINAL
-    out = [r.v for r in likeness(df, "m1", "m2", "v").collect()]
+    out = [r.v for r in likeness(df, "m1", "m2", "v").orderBy("i").collect()]
     assert out[6:] == [0.0, 0.0, 0.0] and all(0 <= v <= 100.0001 for v in out)
 
 

@@ -4,24 +4,33 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from paronym.functions.arrow import stem
 from paronym.operators import features as ft
 from paronym.operators import lookups as lk
 
 TEXTS = [("roupas; bolsas", "roupas"), ("roupas; bolsas", "roupas; sapatos"), ("roupas; bolsas", "sapatos"), ("sapatos; vasos", "vasos; roupas"), ("vasos", "sapatos"), ("zebra", "zebra")]
 
 
-def _pairs(spark):
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEXTS)], "pair_id int, spec_a string, spec_b string")
+FITTED = ft.Fitted(None, None, ())
+
+
+def _stems(text):
+    return " ".join(stem(w) for w in text.replace(";", " ").split())
+
+
+def _pairs(spark, form=lambda t: t):
+    return spark.createDataFrame([(i, form(a), form(b), "nome um", "nome dois") for i, (a, b) in enumerate(TEXTS)], "pair_id int, spec_a string, spec_b string, a string, b string")
 
 
 @pytest.mark.parametrize("name,terms", [("spec_cosine_tfidf_word", lk.word_terms), ("spec_cosine_tfidf_char", lk.char_terms)])
 def test_cosines_of_the_feature_table_count_every_copy(spark, name, terms):
-    pairs = _pairs(spark)
+    pairs = _pairs(spark, _stems)
     sides = [pairs.select(F.concat(F.col("pair_id").cast("string"), F.lit(s)).alias("ident"), F.col(f"spec_{s}").alias("spec")) for s in "ab"]
     _, vectors = lk.tfidf(sides[0].unionByName(sides[1]), "ident", terms("spec"))
     named = pairs.select("pair_id", F.concat(F.col("pair_id").cast("string"), F.lit("a")).alias("l"), F.concat(F.col("pair_id").cast("string"), F.lit("b")).alias("r"))
     whole = {r.pair_id: r.cosine for r in lk.vector_cosines(named, "pair_id", "l", "r", vectors).collect()}
-    made = {r.pair_id: r[name] for r in ft.cosine_block(pairs).collect()}
+    forms, specs, fitted = ft.prepared(_pairs(spark), FITTED)
+    made = {r.pair_id: r[name] for r in ft.cosine_block(forms, specs, fitted).collect()}
     assert made == pytest.approx({i: whole.get(i, 0.0) for i in made}) and made[0] > 0
 
 
@@ -35,7 +44,7 @@ def _grams(text):
 
 
 def test_items_are_weighted_by_the_vocabulary_of_all_descriptions(spark):
-    texts = [t for pair in TEXTS for t in pair]
+    texts = [_stems(t) for pair in TEXTS for t in pair]
     df = Counter(g for t in texts for g in _grams(t))
     idf = {g: math.log((len(texts) + 1) / (n + 1)) + 1 for g, n in df.items() if n >= 3}
 
@@ -46,10 +55,21 @@ def test_items_are_weighted_by_the_vocabulary_of_all_descriptions(spark):
 
     expected = {}
     for i, (a, b) in enumerate(TEXTS):
-        cells = sorted((sum(w * vector(y).get(g, 0.0) for g, w in vector(x).items()) for x in a.split("; ") for y in b.split("; ")), reverse=True)
+        cells = sorted((sum(w * vector(y).get(g, 0.0) for g, w in vector(x).items()) for x in map(stem, a.split("; ")) for y in map(stem, b.split("; "))), reverse=True)
         if cells[0]:
             expected[i] = (cells[0], sum(cells[:3]) / len(cells[:3]))
-    found = {r.pair_id: (r.best, r.top3) for r in ft.item_matches(_pairs(spark)).collect()}
+    found = {r.pair_id: (r.best, r.top3) for r in ft.item_matches(_pairs(spark), FITTED).collect()}
     assert 5 not in found and set(found) == set(expected)  # 'zebra' stands in two texts only
     for i, both in expected.items():
         assert found[i] == pytest.approx(both)
+
+
+def test_hashed_vectors_are_stable_and_near_for_near_texts(spark):
+    from paronym.functions.arrow import gram_vector, hashed_vector
+    from paronym.functions.similarity import cosine
+
+    df = spark.createDataFrame([("botas de couro", "botas de couros", "tintas"), ("", None, "x")], "a string, b string, c string")
+    held = df.select("a", hashed_vector(F.col("a"), unit=True).alias("u"), hashed_vector(F.col("b")).alias("v"), hashed_vector(F.col("c")).alias("w"))
+    near, blank = held.select("a", cosine(F.col("u"), F.col("v")).alias("n"), cosine(F.col("u"), F.col("w")).alias("f"), F.col("v")[0].alias("z")).orderBy(F.desc("a")).collect()
+    assert near.n > 0.8 > 0.3 > near.f and (blank.n, blank.f, blank.z) == (0.0, 0.0, 0.0)
+    assert (gram_vector("botas", 64) == gram_vector(" botas ", 64)).all()
