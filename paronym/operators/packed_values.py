@@ -220,8 +220,8 @@ def explode_packed(df: DataFrame, key: str, fields: list[str], source: str | Non
     patterns = active.groupBy("source").agg(F.array_sort(F.collect_set("delimiter")).alias("d")).select(F.col("source").alias("who"), F.array_join(F.transform("d", lambda d: table[d]), "|").alias("pattern"))
     who = F.lit("") if source is None else F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{key}`").alias("key"), who.alias("who"), *[F.col(f"`{f}`").cast("string").alias(f"v{i}") for i, f in enumerate(fields)])
-    # One row a source; the optimizer broadcasts it while that is small.
-    rows = rows.join(patterns, "who", "left").withColumn("pattern", F.coalesce("pattern", F.lit("(?!)")))
+    # One row a source, written, so that the optimizer knows its size and broadcasts it while that is small.
+    rows = rows.join(cut_lineage(patterns), "who", "left").withColumn("pattern", F.coalesce("pattern", F.lit("(?!)")))
     long = rows.select("key", "pattern", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v{i}").alias("v")) for i, f in enumerate(fields)])).alias("x")).select("key", "pattern", "x.*").where("v is not null")
     nested = F.col("v").rlike('[(\\[\\u201c"]')
     scanned = _scanned(F.when(nested, F.col("v")), F.col("pattern"))
