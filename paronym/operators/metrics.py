@@ -227,3 +227,31 @@ def ranking(models: DataFrame) -> DataFrame:
     down = Window.orderBy(F.desc("average_precision"), "model")
     led = models.withColumns({"position": F.row_number().over(down), "lead": F.col("average_precision") - F.lead("average_precision").over(down)})
     return led.withColumn("decides", F.coalesce(F.col("lead") >= 0.01, F.lit(False)))
+
+
+# Groups of the feature table and how their columns' names begin; the first that fits counts.
+GROUPS = [
+    ("grafia", ("graf_",)), ("numeros", ("num_",)), ("composto", ("ofta_",)),
+    ("avancado", ("spec_item_", "brand_a_token", "brand_b_token", "cls_pair_", "brand_longest", "brand_simhash", "fon_concat_")), ("fonetica", ("fon_",)),
+    ("cosseno", ("spec_cosine_", "brand_emb_")), ("especificacao", ("spec_",)), ("classe", ("cls_",)), ("interacao", ("inter_",)),
+    ("genericos", ("name_", "shared_", "contain_", "radical_", "lev_pure_", "against_")), ("palavras", ("n_tokens_", "brand_", "tok_")),
+]
+
+
+def group_of(feature: Column) -> Column:
+    """The group of a feature's name; ``outros`` for a name of none."""
+    found = F.lit("outros")
+    for group, starts in reversed(GROUPS):
+        hit = F.lit(False)
+        for start in starts:
+            hit = hit | F.startswith(feature, F.lit(start))
+        found = F.when(hit, F.lit(group)).otherwise(found)
+    return found
+
+
+def importance_by_group(importances: DataFrame) -> DataFrame:
+    """``(grupo, colunas, soma, media, parte, maior)`` of the positive importances of each group of features."""
+    positive = importances.select("feature", F.greatest(F.col("importance"), F.lit(0.0)).alias("i")).withColumn("grupo", group_of(F.col("feature")))
+    sums = positive.groupBy("grupo").agg(F.count("*").alias("colunas"), F.sum("i").alias("soma"), F.avg("i").alias("media"), F.min_by("feature", F.struct((-F.col("i")).alias("i"), F.col("feature").alias("f"))).alias("maior"))
+    total = positive.agg(F.sum("i").alias("all"))  # one row
+    return sums.crossJoin(F.broadcast(total)).withColumn("parte", F.when(F.col("all") > 0, F.col("soma") / F.col("all")).otherwise(F.lit(0.0))).drop("all")

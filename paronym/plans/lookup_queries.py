@@ -329,11 +329,3 @@ def cumulative_importance(spark: SparkSession, folder: str) -> DataFrame:
 @_add(_with(_SCORED, "SELECT CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred, y, count(*) AS n FROM z GROUP BY 1, 2"))
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     return scored(spark, folder).groupBy(mt.at_threshold(0.5).alias("pred"), "y").agg(F.count("*").alias("n"))
-
-
-@_add()
-def verdict(spark: SparkSession, folder: str) -> DataFrame:
-    """The traffic light of the stored scores."""
-    base = scored(spark, folder)
-    one = mt.roc_auc(base).crossJoin(mt.average_precision(base)).crossJoin(mt.confusion(base, 0.5).select("recall", "f1")).crossJoin(mt.error_rates(base, 0.5).select("fn_share"))  # one row each
-    return mt.verdict(one)
