@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .unicode_tables import LOOKALIKES, code_points, compositions, joining, merging_starters
 
 #: Text in these characters alone is its own plain form.
@@ -113,7 +114,7 @@ def plain_columns(df: DataFrame, keys: list[str], fields: list[str], lookalikes:
     rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys, k)], *[F.col(f"`{f}`").cast("string").alias(a) for f, a in zip(fields, v)])
     any_odd = reduce(lambda x, y: x | y, [_odd(F.col(a)) for a in v])
     odd = rows.where(any_odd)
-    known = plain_values(odd.select(F.explode(F.array(*v)).alias("v")), "v", lookalikes)
+    known = cut_lineage(plain_values(odd.select(F.explode(F.array(*v)).alias("v")), "v", lookalikes))  # read once a field
     for a in v:
         odd = odd.join(known.select(F.col("value").alias(a), F.col("plain").alias("p")), a, "left").withColumn(a, F.coalesce("p", a)).drop("p")
     both = rows.where(~any_odd).unionByName(odd)

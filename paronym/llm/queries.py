@@ -9,7 +9,7 @@ from ..session import cut_lineage
 from ..sources.tables import table
 from .cross_split import overlaps
 from .grouped_split import related_groups, split_groups
-from .marks import folded_pairs, plain_marks, usable_pairs
+from .marks import MARKS, folded_pairs, plain_marks, usable_pairs
 from .mixing import Mix, mix_sources
 from .multiset_duplicates import duplicate_groups
 from .packing import pack_items
@@ -55,9 +55,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     """``(record, mark)``: the folded marks of the usable pairs and of the watched marks."""
-    pairs = plain_marks(spark, folder).select(F.col("pair_id").alias("record"), folded(F.col("plain")).alias("mark"))
-    watched = plain_forms(table(spark, folder, "carteira"), ["carteira_id"], ["marca_monitorada"])
-    return pairs.unionByName(watched.select(F.col("carteira_id").alias("record"), folded(F.col("plain")).alias("mark")))
+    pairs = usable_pairs(spark, folder).select(F.col("pair_id").alias("record"), F.explode(F.array(*MARKS)).alias("mark"))
+    watched = table(spark, folder, "carteira").select(F.col("carteira_id").alias("record"), F.col("marca_monitorada").alias("mark"))
+    return plain_forms(pairs.unionByName(watched), ["record"], ["mark"]).select("record", folded(F.col("plain")).alias("mark"))
 
 
 def _related(spark: SparkSession, folder: str) -> DataFrame:
