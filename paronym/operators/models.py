@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .metrics import average_precision
-from .sampling import bootstrap, numbered, order_hash
+from .sampling import bootstrap, class_weight, numbered, order_hash
 
 
 def with_vector(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -107,16 +107,23 @@ class Ensemble:
 def bagging(train: DataFrame, validation: DataFrame, kinds: tuple[str, ...] = ("logistica", "floresta"), members: int = 2, seed: int = 42, inputs: int = 0, key: str = "pair_id") -> Ensemble:
     """Members on bootstraps of the training rows, calibrated on the validation rows.
 
-    Both frames have ``features`` and a ``label`` of 0 and 1.  The number of
+    Positive rows weigh as many times as there are negatives for each; nets,
+    which take no weights, see them so many times instead (rounded).  Both frames have ``features`` and a ``label`` of 0 and 1.  The number of
     members is a parameter, 1 at least; each fit is a distributed job.
     """
     made = Ensemble()
+    weight = max(float(class_weight(train, "label").first()[0] or 0.0), 1.0)
+    weighed = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(weight)).otherwise(F.lit(1.0)))
     for i in range(max(1, members)):
         for kind in kinds:
             own = seed + 1000 * i
-            drawn = cut_lineage(bootstrap(train, key, 1.0, own).withColumn("label", F.col("label").cast("double")))
+            drawn = cut_lineage(bootstrap(weighed, key, 1.0, own).withColumn("label", F.col("label").cast("double")))
             fit = {"logistica": logistic_member, "floresta": forest_member}.get(kind)
-            member = perceptron_member(drawn, own, inputs) if fit is None else fit(drawn, own)
+            if fit is None:
+                times = F.when(F.col("label") == 1, F.lit(round(weight))).otherwise(F.lit(1))
+                member = perceptron_member(drawn.withColumn("time", F.explode(F.sequence(F.lit(1), times))), own, inputs)
+            else:
+                member = fit(drawn, own, "weight")
             member.slope, member.shift = platt(member.score(validation, "score").withColumn("y", F.col("label")))
             made.members.append(member)
     return made
@@ -135,11 +142,6 @@ def stacked(ensemble: Ensemble, validation: DataFrame, columns: list[str], key:
     return fit(rows), held.select(key, "label", "score")
 
 
-def final_score(columns: list[str]) -> Column:
-    """The first of the scores that is there, in order of precedence."""
-    return F.coalesce(*[F.col(c) for c in columns])
-
-
 def permutation_importance(score, df: DataFrame, columns: list[str], key: str = "pair_id", repeats: int = 3, seed: int = 42) -> DataFrame:
     """``(feature, importance)``: the mean loss of average precision when a column's values change places.
 
@@ -170,6 +172,17 @@ def linear_attribution(member: Member, df: DataFrame, columns: list[str], baseli
     return long.select(key, "feature", F.when(total > 0, F.col("x") / total).otherwise(F.lit(0.0)).alias("share"))
 
 
+def mean_attribution(members: list[Member], df: DataFrame, columns: list[str], baseline: dict[str, float], key: str = "pair_id") -> DataFrame:
+    """``(key, feature, share)``: the attributions of linear members averaged, each row's absolute values summing to 1 again."""
+    every = None
+    for m in members:
+        one = linear_attribution(m, df, columns, baseline, key)
+        every = one if every is None else every.unionByName(one)
+    mean = every.groupBy(key, "feature").agg(F.avg("share").alias("x"))
+    total = F.sum(F.abs("x")).over(Window.partitionBy(key))
+    return mean.select(key, "feature", F.when(total > 0, F.col("x") / total).otherwise(F.lit(0.0)).alias("share"))
+
+
 def focal_loss(p: Column, y: Column, alpha: float = 0.25, gamma: float = 2.0, smooth: float = 0.0) -> Column:
     """Loss of one row that falls with the share that is right already."""
     t = y * (1 - smooth) + 0.5 * smooth

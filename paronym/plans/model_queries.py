@@ -11,8 +11,9 @@ from ..operators import features as ft
 from ..operators import lookups as lk
 from ..operators import models as md
 from ..operators import pairs as pr
+from ..operators.bundle import Bundle, load_bundle, save_bundle, score_batch
 from ..operators.sampling import stratified_split
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from ..sources import io
 from ..sources.tables import table
 from .pair_queries import clean
@@ -43,20 +44,34 @@ def _prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
 def model_bagging(spark: SparkSession, folder: str) -> DataFrame:
     """Calibrated mean of bagged members on the test rows."""
     train, validation, test = _prepared(spark, folder)
-    made = md.bagging(train, validation, members=1)
+    made = md.bagging(train, validation, members=3)
     return made.score(test).select("pair_id", "label", F.round("score", 6).alias("score"))
 
 
+def reloaded_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores of ``model_bagging`` by members that were saved and loaded again, with lookups and scales."""
+    pairs = clean(spark, folder)
+    rows = stratified_split(simple_features(pairs), "pair_id", "label")
+    scales = lk.scaler(rows.where("split = 'treino'"), COLUMNS)
+    train, validation, _ = _prepared(spark, folder)
+    made = Bundle(ft.Fitted(lk.token_frequencies(pairs), lk.class_pair_priors(pairs), ()), COLUMNS, scales, md.bagging(train, validation, members=3), 0.5)
+    path = scratch_path(spark)
+    save_bundle(spark, made, path)
+    test = pairs.join(rows.where("split = 'teste'").select("pair_id"), "pair_id")
+    scored = score_batch(load_bundle(spark, path), test, lambda d, _: simple_features(d))
+    return scored.join(pairs.select("pair_id", "label"), "pair_id").select("pair_id", "label", F.round("score", 6).alias("score"))
+
+
 def model_perceptron(spark: SparkSession, folder: str) -> DataFrame:
     train, validation, test = _prepared(spark, folder)
-    made = md.bagging(train, validation, ("rede",), 1, inputs=len(COLUMNS))
+    made = md.bagging(train, validation, ("rede",), 3, inputs=len(COLUMNS))
     return made.score(test).select("pair_id", "label", F.round("score", 6).alias("score"))
 
 
 def model_stacking(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-fitted scores of the model on top of the members."""
     train, validation, _ = _prepared(spark, folder)
-    return md.stacked(md.bagging(train, validation, members=1), validation, COLUMNS)[1]
+    return md.stacked(md.bagging(train, validation, members=3), validation, COLUMNS)[1]
 
 
 def model_importance(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +79,7 @@ def model_importance(spark: SparkSession, folder: str) -> DataFrame:
     train, validation, test = _prepared(spark, folder)
     member = md.logistic_member(train.withColumn("label", F.col("label").cast("double")), 42)
     rows = test.select("pair_id", F.col("label").alias("y"), *COLUMNS)
-    return md.permutation_importance(lambda d: member.score(md.with_vector(d, COLUMNS), "score"), rows, COLUMNS, repeats=1)
+    return md.permutation_importance(lambda d: member.score(md.with_vector(d, COLUMNS), "score"), rows, COLUMNS, repeats=3)
 
 
 def model_attribution(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +107,7 @@ def item_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    return io.file_hashes(spark, f"{folder}/carteira.parquet").select("sha256", "length")
+    return io.file_hashes(spark, f"{folder}/marca_pares.parquet").select("sha256", "length")
 
 
 def case_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,4 +118,4 @@ def case_scores(spark: SparkSession, folder: str) -> DataFrame:
     return symmetric_score(rows, "m1", "m2", "s").select("debug_id", "gerado_em", F.round("guardado", 6).alias("guardado"), F.round("s.final", 6).alias("final"), "s.driver")
 
 
-QUERIES = {f.__name__: f for f in (model_bagging, model_perceptron, model_stacking, model_importance, model_attribution, enriched_pairs, item_matches, file_hashes, case_scores)}
+QUERIES = {f.__name__: f for f in (model_bagging, reloaded_scores, model_perceptron, model_stacking, model_importance, model_attribution, enriched_pairs, item_matches, file_hashes, case_scores)}

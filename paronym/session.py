@@ -55,6 +55,11 @@ def _tables_folder(spark: SparkSession) -> str:
     return path.toString()
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder of written tables."""
+    return f"{_tables_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the folder that all executors share and return a frame that reads it.
 
@@ -63,6 +68,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     its size is known to the optimizer.  Only a local session without that
     setting gets a temporary folder.
     """
-    path = f"{_tables_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
