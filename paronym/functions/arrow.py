@@ -76,18 +76,89 @@ def common_subsequence(a: str, b: str) -> int:
     return row.bit_count()
 
 
+#: Strings up to this length are compared many at once; longer ones, which are few, one by one.
+_TOGETHER = 128
+
+
+def _codes(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points as rows of one array, filled up, and the lengths."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    rows = np.full((len(texts), max(int(sizes.max(initial=0)), 1)), fill, np.int64)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return rows, sizes
+
+
+def jaro_many(first: list[str], second: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Jaro and Jaro-Winkler similarity of strings side by side."""
+    (a, la), (b, lb) = _codes(first, -1), _codes(second, -2)
+    n, every, at = len(first), np.arange(len(first)), np.arange(b.shape[1])
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
+    taken, found = np.zeros(b.shape, bool), np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        free = (b == a[:, i : i + 1]) & ~taken & (at >= i - reach) & (at <= i + reach)
+        hit = free.any(axis=1)
+        taken[every[hit], free.argmax(axis=1)[hit]] = True
+        found[:, i] = hit
+    m = found.sum(axis=1)
+    moved = np.bincount(np.repeat(every, m), a[found] != b[taken], n) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plain = np.where(m > 0, (m / la + m / lb + (m - moved) / m) / 3, 0.0)
+    plain = np.where((la == 0) & (lb == 0), 1.0, plain)
+    width = min(4, a.shape[1], b.shape[1])
+    start = np.cumprod(a[:, :width] == b[:, :width], axis=1).sum(axis=1)
+    return plain, np.where(plain > 0.7, plain + 0.1 * start * (1 - plain), plain)
+
+
+def damerau_many(first: list[str], second: list[str]) -> np.ndarray:
+    """Edits and exchanges of neighbours of strings side by side: each cell of all tables is one step."""
+    (a, la), (b, lb) = _codes(first, -1), _codes(second, -2)
+    n, every = len(first), np.arange(len(first))
+    d = np.zeros((a.shape[1] + 2, b.shape[1] + 2, n), np.int32)
+    d[0] = d[:, 0] = la + lb
+    d[1:, 1] = np.arange(a.shape[1] + 1)[:, None]
+    d[1, 1:] = np.arange(b.shape[1] + 1)[:, None]
+    last = np.zeros((b.shape[1], n), np.int64)
+    for i in range(1, a.shape[1] + 1):
+        here, same = np.zeros(n, np.int64), (b == a[:, i - 1 : i]).T
+        for j in range(1, b.shape[1] + 1):
+            k, equal = last[j - 1], same[j - 1]
+            turned = d[k, here, every] + (i - k) + (j - here) - 1
+            d[i + 1, j + 1] = np.minimum(np.minimum(d[i, j] + ~equal, np.minimum(d[i + 1, j], d[i, j + 1]) + 1), turned)
+            here = np.where(equal, j, here)
+        last[same] = i
+    return d[la + 1, lb + 1, every]
+
+
 _EDITS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("jaro", "jaro_winkler", "damerau", "subsequence")])
 
 
 @F.pandas_udf(_EDITS)
 def string_similarities(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Jaro, Jaro-Winkler and Damerau similarity, and the common subsequence as a share of the longer string."""
-    rows = []
-    for x, y in zip(a.fillna(""), b.fillna("")):
-        longest = max(len(x), len(y))
-        edits = 1.0 if not longest else 0.0 if not x or not y else 1 - damerau(x, y) / longest
-        rows.append((jaro(x, y), jaro_winkler(x, y), edits, common_subsequence(x, y) / longest if longest else 0.0))
-    return pd.DataFrame(rows, columns=["jaro", "jaro_winkler", "damerau", "subsequence"])
+    x, y = a.fillna("").tolist(), b.fillna("").tolist()
+    longest = np.array([max(len(p), len(q)) for p, q in zip(x, y)], np.int64)
+    out = np.zeros((len(x), 4))
+    order = np.argsort(longest, kind="stable")  # strings of like length side by side, so that little is filled up
+    order, long = order[longest[order] <= _TOGETHER], np.flatnonzero(longest > _TOGETHER)
+    begin = 0
+    while begin < len(order):
+        # As many as keep the tables in a few megabytes, counted with the longest of them.
+        end = begin + 1
+        while end < len(order) and (end - begin + 1) * (longest[order[end]] + 2) ** 2 <= 4_000_000:
+            end += 1
+        some = order[begin:end]
+        u, v = [x[i] for i in some], [y[i] for i in some]
+        out[some, 0], out[some, 1] = jaro_many(u, v)
+        out[some, 2] = damerau_many(u, v)
+        begin = end
+    for i in long:
+        out[i, :3] = jaro(x[i], y[i]), jaro_winkler(x[i], y[i]), damerau(x[i], y[i])
+    out[:, 3] = [common_subsequence(p, q) for p, q in zip(x, y)]
+    empty = np.array([not p or not q for p, q in zip(x, y)], bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out[:, 2] = np.where(longest == 0, 1.0, np.where(empty, 0.0, 1 - out[:, 2] / longest))
+        out[:, 3] = np.where(longest == 0, 0.0, out[:, 3] / longest)
+    return pd.DataFrame(out, columns=["jaro", "jaro_winkler", "damerau", "subsequence"])
 
 
 def best_assignment(matrix: np.ndarray) -> float:

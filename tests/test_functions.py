@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,19 @@ def test_stems(one, other):
 def test_simhash_of_equal_and_empty(spark):
     out = _one(spark, ["casa", "casa", ""], tx.simhash64(F.col("x")))
     assert out[0] == out[1] and out[2] == (0,)
+
+
+def test_distances_of_many_are_those_of_one_by_one():
+    import random
+
+    from paronym.functions import arrow as ar
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(0, 14))) for _ in range(600)] + ["", "a", "ab" * 30]
+    a, b = words, words[7:] + words[:7]
+    plain, winkler = ar.jaro_many(a, b)
+    edits = ar.damerau_many(a, b)
+    for x, y, j, w, e in zip(a, b, plain, winkler, edits):
+        assert j == pytest.approx(ar.jaro(x, y)) and w == pytest.approx(ar.jaro_winkler(x, y)) and e == ar.damerau(x, y), (x, y)
+    made = ar.string_similarities.func(pd.Series([*a, None, "k" * 200]), pd.Series([*b, "x", "k" * 190 + "z"]))
+    assert made["damerau"].iloc[-1] == 1 - ar.damerau("k" * 200, "k" * 190 + "z") / 200 and made["damerau"].iloc[-2] == 0
