@@ -229,6 +229,19 @@ def ranking(models: DataFrame) -> DataFrame:
     return led.withColumn("decides", F.coalesce(F.col("lead") >= 0.01, F.lit(False)))
 
 
+def comparison(scored: DataFrame, scores: list[str], precision: float = 0.9) -> DataFrame:
+    """``(model, roc_auc, average_precision, recall, delta_*)`` of several score columns over the same rows; deltas are against the first."""
+    names = ["roc_auc", "average_precision", "recall"]
+    made = None
+    for name in scores:
+        one = scored.select("y", F.col(f"`{name}`").alias("score"))
+        row = roc_auc(one).crossJoin(average_precision(one)).crossJoin(recall_at_precision(one, precision)).select(F.lit(name).alias("model"), *names)  # one row each
+        made = row if made is None else made.unionByName(row)
+    made = cut_lineage(made)
+    first = made.where(F.col("model") == scores[0]).select(*[F.col(n).alias(f"first_{n}") for n in names])
+    return made.crossJoin(F.broadcast(first)).select("model", *names, *[(F.col(n) - F.col(f"first_{n}")).alias(f"delta_{n}") for n in names])
+
+
 # Groups of the feature table and how their columns' names begin; the first that fits counts.
 GROUPS = [
     ("grafia", ("graf_",)), ("numeros", ("num_",)), ("composto", ("ofta_",)),

@@ -10,6 +10,7 @@ from ..operators import features as ft
 from ..operators import metrics as mt
 from ..operators import pairs as pr
 from ..operators import sampling as sp
+from ..operators.report import evaluation_report
 from . import sqltext as q
 from .lookup_queries import _CELLS, _CURVE, _SCORED, scored
 from .pair_queries import _BASED, _BESTS, _NONE, _PREFIX, _SUFFIX, _TWO, _score_ctes, _with, clean
@@ -165,3 +166,12 @@ _LIGHTS = ", ".join(_LIGHT.format(*x) for x in (("roc_auc", 0.90, 0.80), ("avera
 SQL["verdict"] = _with(_CURVE + f""", c AS (SELECT {_CELLS.format('0.5')} FROM z), a AS (SELECT sum(n * (tp - p) + 0.5 * n * p) / max(np * nn) AS roc_auc, sum(p * tp::double / (tp + fp)) / max(np) AS average_precision FROM k),
 m AS (SELECT a.*, tp::double / (tp + fn) AS recall, 2 * tp::double / (2 * tp + fp + fn) AS f1, fn::double / (tp + fn) AS fn_share FROM a, c), l AS (SELECT *, {_LIGHTS}, CASE WHEN fn_share > 0.30 THEN 'vermelho' ELSE 'verde' END AS cor_fn FROM m)""",
     "SELECT * REPLACE (round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(fn_share, 6) AS fn_share), CASE WHEN list_contains([cor_roc_auc, cor_average_precision, cor_recall, cor_f1, cor_fn], 'vermelho') THEN 'não recomendado' WHEN list_contains([cor_roc_auc, cor_average_precision, cor_recall, cor_f1, cor_fn], 'amarelo') THEN 'monitorar' ELSE 'pronto' END AS veredito FROM l")
+
+
+def report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The evaluation report of the stored scores, line by line (K10)."""
+    lines = evaluation_report(scored(spark, folder).select("pair_id", "y", "score"))
+    return spark.createDataFrame(list(enumerate(lines, 1)), "linha int, texto string")
+
+
+QUERIES["report_lines"] = report_lines

@@ -302,15 +302,14 @@ def audit_export(spark: SparkSession, folder: str) -> DataFrame:
 _TWICE = ", ".join(f"e{s} AS (SELECT {s} AS s, sum(y) AS p, sum(1 - y) AS n FROM z GROUP BY 1), k{s} AS (SELECT p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn FROM e{s} WINDOW w AS (ORDER BY s DESC))" for s in ("score", "other"))
 
 
-@_add(_with(_SCORED + ", " + _TWICE, " UNION ALL ".join(f"SELECT '{s}' AS modelo, round(sum(n * (tp - p) + 0.5 * n * p) / max(np * nn), 6) AS roc_auc, round(sum(p * tp::double / (tp + fp)) / max(np), 6) AS average_precision FROM k{s}" for s in ("score", "other"))))
+_EACH = " UNION ALL ".join(f"SELECT '{s}' AS modelo, sum(n * (tp - p) + 0.5 * n * p) / max(np * nn) AS roc, sum(p * tp::double / (tp + fp)) / max(np) AS ap, coalesce(max(tp::double / np) FILTER (tp::double / (tp + fp) >= 0.2), 0) AS rp FROM k{s}" for s in ("score", "other"))
+
+
+@_add(_with(_SCORED + ", " + _TWICE + f", m AS ({_EACH}), b AS (SELECT * FROM m WHERE modelo = 'score')", "SELECT m.modelo, round(m.roc, 6) AS roc_auc, round(m.ap, 6) AS average_precision, round(m.rp, 6) AS recall, round(m.roc - b.roc, 6) AS delta_roc_auc, round(m.ap - b.ap, 6) AS delta_average_precision, round(m.rp - b.rp, 6) AS delta_recall FROM m, b"))
 def compare_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Both scores' ranking metrics over the same pairs, aligned by pair."""
-    made = []
+    """Ranking metrics of both scores over the same pairs, recall at a precision of 0.2, and how far each is from the first."""
     base = scored(spark, folder)
-    for name in ("score", "other"):
-        one = base.select("y", F.col(name).alias("score"))
-        made.append(mt.roc_auc(one).crossJoin(mt.average_precision(one)).withColumn("modelo", F.lit(name)))  # one row each
-    return _round(made[0].unionByName(made[1]), "roc_auc", "average_precision")
+    return _round(mt.comparison(base, ["score", "other"], 0.2), "roc_auc", "average_precision", "recall", "delta_roc_auc", "delta_average_precision", "delta_recall").withColumnRenamed("model", "modelo")
 
 
 @_add(_with(_SCORED + ", " + _TWICE + ", m AS (" + " UNION ALL ".join(f"SELECT '{s}' AS model, sum(p * tp::double / (tp + fp)) / max(np) AS average_precision FROM k{s}" for s in ("score", "other")) + ")", "SELECT model, round(average_precision, 6) AS average_precision, row_number() OVER w AS position, round(average_precision - lead(average_precision) OVER w, 6) AS lead, coalesce(average_precision - lead(average_precision) OVER w >= 0.01, false) AS decides FROM m WINDOW w AS (ORDER BY average_precision DESC, model)"))
