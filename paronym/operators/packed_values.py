@@ -201,9 +201,18 @@ def _closings(text: str) -> dict[int, int]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _scanned(values: pd.Series, patterns: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else split_packed(v, p) for v, p in zip(values, patterns)], dtype=object)
+def _scanner(patterns: list[str]) -> Callable[[Column, Column], Column]:
+    """``split_packed`` of a column by the pattern whose number another column gives; -1 is none."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def scanned(values: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else split_packed(v, patterns[n] if n >= 0 else "") for v, n in zip(values, numbers)], dtype=object)
+
+    return scanned
+
+
+#: Stands for a delimiter between two steps; a field that holds it is scanned instead.
+_PARTED = "\x01"
 
 
 def explode_packed(df: DataFrame, key: str, fields: list[str], source: str | None = None, candidates: dict[str, str] | None = None, never: tuple[str, ...] = NEVER) -> DataFrame:
@@ -221,11 +230,15 @@ def explode_packed(df: DataFrame, key: str, fields: list[str], source: str | Non
     who = F.lit("") if source is None else F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{key}`").alias("key"), who.alias("who"), *[F.col(f"`{f}`").cast("string").alias(f"v{i}") for i, f in enumerate(fields)])
     # One row a source, written, so that the optimizer knows its size and broadcasts it while that is small.
-    rows = rows.join(cut_lineage(patterns), "who", "left").withColumn("pattern", F.coalesce("pattern", F.lit("(?!)")))
-    long = rows.select("key", "pattern", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v{i}").alias("v")) for i, f in enumerate(fields)])).alias("x")).select("key", "pattern", "x.*").where("v is not null")
-    nested = F.col("v").rlike('[(\\[\\u201c"]')
-    scanned = _scanned(F.when(nested, F.col("v")), F.col("pattern"))
-    plain = F.filter(F.transform(F.split("v", F.col("pattern")), _trimmed), lambda p: p != "")
+    patterns = cut_lineage(patterns)
+    distinct = sorted(r.pattern for r in patterns.select("pattern").distinct().collect())  # one for a set of candidates
+    number = F.create_map(*[F.lit(x) for i, p in enumerate(distinct) for x in (p, i)])[F.col("pattern")] if distinct else F.lit(None)
+    rows = rows.join(patterns, "who", "left").select("*", F.coalesce(number.cast("int"), F.lit(-1)).alias("number")).withColumn("pattern", F.coalesce("pattern", F.lit("(?!)")))
+    long = rows.select("key", "pattern", "number", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v{i}").alias("v")) for i, f in enumerate(fields)])).alias("x")).select("key", "pattern", "number", "x.*").where("v is not null")
+    nested = F.col("v").rlike('[(\\[\\u201c"\\x01]')
+    scanned = _scanner(distinct)(F.when(nested, F.col("v")), F.col("number"))
+    # A split by a pattern compiles it for every row; a replacement keeps the compiled one.
+    plain = F.filter(F.transform(F.split(F.regexp_replace("v", F.col("pattern"), F.lit(_PARTED)), _PARTED), _trimmed), lambda p: p != "")
     values = long.withColumn("scanned", scanned).select("key", "field", F.when(nested, F.col("scanned")).otherwise(plain).alias("values"))
     return values.select("key", "field", F.size("values").alias("count"), F.posexplode("values").alias("position", "value")).select("key", "field", (F.col("position") + 1).alias("position"), "value", "count")
 
