@@ -100,3 +100,23 @@ def test_a_sign_that_does_not_part_values_is_not_active(spark):
     scored = {r.delimiter: r for r in score_delimiters(spark.createDataFrame(rows, "k int, a string, s string"), "s", ["a"]).collect()}
     assert scored["semicolon"].active and not scored["bar"].active and not scored["comma"].active
     assert re.compile(PATTERN)
+
+
+def test_a_small_source_follows_the_others_at_any_size(spark):
+    for times in (4, 40):
+        rows = [(i, "rua 1 - 2 - 3" if i % 2 else "botas; tintas", "s") for i in range(60 * times)] + [(-1, "a - 7 - 8", "few")]
+        df = spark.createDataFrame(rows, "k int, a string, s string")
+        scored = {(r.source, r.delimiter): r.active for r in score_delimiters(df, "s", ["a"]).collect()}
+        assert scored["s", "semicolon"] and scored["few", "semicolon"] and scored["s", "spaced dash"] == scored["few", "spaced dash"]
+    assert not scored["s", "spaced dash"]
+    split = {r.key: r["count"] for r in explode_packed(df, "k", ["a"], "s").collect()}
+    assert split[1] == split[-1] == 1 and split[0] == 2
+
+
+def test_blanks_are_the_same_with_and_without_brackets(spark):
+    wide = chr(0x2003)
+    rows = [(0, f"tintas{wide}/{wide}botas"), (1, f"tintas{wide}/{wide}botas (x)"), (2, "a\x1c-\x1cb"), (3, "a\x1c-\x1cb (x)"), (4, "c\x01d; e")]
+    out = {}
+    for r in explode_packed(spark.createDataFrame(rows, "k int, a string"), "k", ["a"]).orderBy("position").collect():
+        out.setdefault(r.key, []).append(r.value)
+    assert out == {0: ["tintas", "botas"], 1: ["tintas", "botas (x)"], 2: ["a\x1c-\x1cb"], 3: ["a\x1c-\x1cb (x)"], 4: ["c\x01d", "e"]}
