@@ -3,7 +3,7 @@ import unicodedata
 
 import pytest
 
-from paronym.llm.plain_form import is_usable, plain_forms
+from paronym.llm.plain_form import is_usable, plain_columns, plain_forms
 from paronym.llm.unicode_tables import composed
 
 CASES = [
@@ -64,3 +64,12 @@ def test_lookalikes_are_a_parameter(spark):
 def test_usable(spark, a, b, usable):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     assert df.where(is_usable("a", "b")).count() == int(usable)
+
+
+def test_columns_side_by_side(spark):
+    rows = [(1, "Ａ", "b"), (2, "b", "е́"), (2, "b", "е́"), (3, None, "Ａ"), (None, "x", ""), (4, None, None)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    out = plain_columns(df, ["id"], ["a", "b"])
+    assert out.columns == ["id", "a", "b"]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "A", "b"), (2, "b", "é"), (2, "b", "é"), (3, None, "A"), (None, "x", ""), (4, None, None)]))
+    assert plain_columns(df.where("false"), ["id"], ["a", "b"]).count() == 0
