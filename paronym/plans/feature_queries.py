@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.composite import DRIVERS
 from ..operators import features as ft
+from ..operators import lookups as lk
 from ..operators import metrics as mt
 from ..operators import pairs as pr
 from ..operators import sampling as sp
 from ..operators.report import evaluation_report
 from . import sqltext as q
-from .lookup_queries import _CELLS, _CURVE, _SCORED, scored
+from .lookup_queries import _CELLS, _CURVE, _NAME_TOKENS, _SCORED, scored
 from .pair_queries import _BASED, _BESTS, _NONE, _PREFIX, _SUFFIX, _TWO, _score_ctes, _with, clean
 
 QUERIES: dict = {}
@@ -106,26 +107,75 @@ QUERIES["block_columns"] = block_columns
 SQL["block_columns"] = "SELECT * FROM (VALUES " + ", ".join(f"('{g}', {n}::bigint)" for g, n in _COUNTS.items()) + ") AS t(grupo, colunas)"
 
 
-def _importances(spark: SparkSession, folder: str) -> DataFrame:
-    """Absolute correlation with the label of the graphic and phonetic columns."""
+def block_generic(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns of generic tokens, containment, radicals and signs against a collision."""
     pairs = clean(spark, folder)
-    forms = ft.with_forms(pairs)
-    made = ft.feature_block("graphic", forms, None, ft.Fitted(None, None, ())).join(ft.feature_block("class", pairs, None, ft.Fitted(None, None, ())), "pair_id").join(pairs.select("pair_id", F.col("label").alias("y")), "pair_id")
-    found = mt.label_correlations(made, [*ft.GRAPHIC, "cls_same", "cls_diff_abs"])
-    return found.select("feature", F.abs("correlation").alias("importance"))
+    made = ft.feature_block("generic", ft.with_forms(pairs), None, ft.Fitted(lk.token_frequencies(pairs), None, ()))
+    return _rounded(made.drop("ia", "ib"))
+
+
+_longest = lambda t: f"coalesce(list_reduce({t}, lambda s_, v_: CASE WHEN length(v_) > length(s_) THEN v_ ELSE s_ END, ''), '')"
+_radical = lambda own, every: f"CASE WHEN len(list_filter({own}, lambda v_: length(v_) >= 4)) > 0 THEN {_longest(f'list_filter({own}, lambda v_: length(v_) >= 4)')} WHEN len({own}) > 0 THEN {_longest(own)} ELSE {_longest(every)} END"
+_texts = lambda items: f"list_transform({items}, lambda v_: v_.t)"
+_LOOKED = f""",{_NAME_TOKENS},
+tk AS (SELECT DISTINCT nome, list_filter({q.tokens(q.base('nome'))}, lambda v_: length(v_) >= 2 AND NOT regexp_matches(v_, '^[0-9]+$')) AS t FROM nomes),
+ex AS (SELECT nome, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM tk),
+lk AS (SELECT nome, list({{'t': token, 'i': idf, 'g': generic}} ORDER BY p) AS l FROM ex JOIN idf USING (token) GROUP BY 1),
+p1 AS (SELECT pair_id, ca, cb, replace({q.base('a')}, ' ', '') AS cx, replace({q.base('b')}, ' ', '') AS cy, coalesce(x.l, []) AS la, coalesce(y.l, []) AS lb FROM pares LEFT JOIN lk x ON x.nome = a LEFT JOIN lk y ON y.nome = b),
+p2 AS (SELECT *, {_texts('la')} AS ta, {_texts('lb')} AS tb, {_texts('list_filter(la, lambda v_: NOT v_.g)')} AS ia, {_texts('list_filter(lb, lambda v_: NOT v_.g)')} AS ib FROM p1),
+p3 AS (SELECT *, list_distinct(list_filter(la, lambda v_: list_contains(tb, v_.t))) AS sh, len(list_intersect(list_distinct(ia), list_distinct(ib))) AS common,
+    len(list_filter(la, lambda v_: v_.g))::double / greatest(len(ta), 1) AS ga, len(list_filter(lb, lambda v_: v_.g))::double / greatest(len(tb), 1) AS gb,
+    array_to_string(ia, '') AS ja, array_to_string(ib, '') AS jb, array_to_string(ia, ' ') AS pa, array_to_string(ib, ' ') AS pb, {_radical('ia', 'ta')} AS ra, {_radical('ib', 'tb')} AS rb FROM p2),
+p4 AS (SELECT *, (len(sh) > 0 AND len(list_filter(sh, lambda v_: NOT v_.g)) = 0) AS allg, (ca >= 0 AND cb >= 0 AND ca <> cb) AS apart, {_PREFIX.replace('(x', '(cx').replace('(y', '(cy').replace(' length(y)', ' length(cy)')} AS px FROM p3)"""
+_both = lambda x, y, c: f"CASE WHEN {x} = '' OR {y} = '' THEN 0.0 ELSE {c} END"
+_strong = lambda l, t: f"len(list_distinct(list_filter({_texts(f'list_filter({l}, lambda v_: NOT v_.g AND length(v_.t) >= 4 AND v_.i >= 3.0)')}, lambda v_: NOT list_contains({t}, v_))))"
+_GENERIC = dict(zip([*ft.GENERIC, *ft.CONTAIN, *ft.RADICAL, *ft.AGAINST[1:]], [
+    "ga", "gb", "greatest(ga, gb)", "len(list_distinct(ia))", "len(list_distinct(ib))", "common", "common::double / greatest(len(list_distinct(list_concat(ia, ib))), 1)",
+    "coalesce(list_max(list_transform(sh, lambda v_: v_.i)), 0)", "CASE WHEN len(sh) = 0 THEN 0 ELSE list_sum(list_transform(sh, lambda v_: v_.i)) / len(sh) END", "allg::int",
+    "(cx <> '' AND contains(cy, cx))::int", "(cy <> '' AND contains(cx, cy))::int", "(ja <> '' AND contains(jb, ja))::int", "(jb <> '' AND contains(ja, jb))::int", "px", "px::double / greatest(least(length(cx), length(cy)), 1)",
+    "length(ra)", "length(rb)", _both("ra", "rb", f"greatest({q.edit('ra', 'rb')}, jaro_winkler_similarity(ra, rb))"), _both("ra", "rb", f"({q.key('ra')} = {q.key('rb')})::int"),
+    _both("pa", "pb", q.edit("pa", "pb")), _both("pa", "pb", "jaro_winkler_similarity(pa, pb)"), "abs(length(pa) - length(pb))",
+    "(allg AND apart)::int", "(abs(length(cx) - length(cy)) >= 15 AND len(list_intersect(list_distinct(ta), list_distinct(tb))) = 0)::int", _strong("la", "tb"), _strong("lb", "ta"),
+]))
+QUERIES["block_generic"] = block_generic
+SQL["block_generic"] = _with(_LOOKED, "SELECT pair_id, " + ", ".join(f"round(({v})::double, 6) AS {c}" for c, v in _GENERIC.items()) + " FROM p4")
+
+
+def _feature_table(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """Graphic columns and two of the classes, with the label as ``y``."""
+    pairs = clean(spark, folder)
+    none = ft.Fitted(None, None, ())
+    made = ft.feature_block("graphic", ft.with_forms(pairs), None, none).join(ft.feature_block("class", pairs, None, none), "pair_id").join(pairs.select("pair_id", F.col("label").alias("y")), "pair_id")
+    return made, [*ft.GRAPHIC, "cls_same", "cls_diff_abs"]
+
+
+_LONG = f"""WITH g AS ({SQL['block_graphic'].replace(', 6) AS graf_', ', 15) AS graf_')}), c AS ({SQL['block_class']}),
+w AS (SELECT g.*, cls_same, cls_diff_abs, greatest(0, least(1, coalesce(label, 0))) AS y FROM g JOIN c USING (pair_id) JOIN marca_pares USING (pair_id)),
+l AS (UNPIVOT w ON {', '.join([*ft.GRAPHIC, 'cls_same', 'cls_diff_abs'])} INTO NAME feature VALUE x)"""
+_CORRELATION = "covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y) + 1e-12)"
+
+
+def feature_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean, deviation and extremes of feature columns, and whether one is constant."""
+    made = mt.feature_stats(*_feature_table(spark, folder))
+    return made.select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "deviation", "lowest", "highest")], "constant")
+
+
+def feature_label_corr(spark: SparkSession, folder: str) -> DataFrame:
+    """Correlation of feature columns with the label."""
+    return mt.label_correlations(*_feature_table(spark, folder)).select("feature", F.round("correlation", 6).alias("correlation"))
 
 
 def importance_by_block(spark: SparkSession, folder: str) -> DataFrame:
-    """Sum, mean, share and largest of the positive importances of each group (A23)."""
-    return mt.importance_by_group(_importances(spark, folder)).select("grupo", "colunas", *[F.round(c, 6).alias(c) for c in ("soma", "media", "parte")], "maior")
+    """Sum, mean, share and largest of the absolute correlations of each group (A23)."""
+    found = mt.label_correlations(*_feature_table(spark, folder)).select("feature", F.abs("correlation").alias("importance"))
+    return mt.importance_by_group(found).select("grupo", "colunas", *[F.round(c, 6).alias(c) for c in ("soma", "media", "parte")], "maior")
 
 
-_VALUES = ", ".join([*ft.GRAPHIC, "cls_same", "cls_diff_abs"])
-QUERIES["importance_by_block"] = importance_by_block
-SQL["importance_by_block"] = f"""WITH g AS ({SQL['block_graphic'].replace(', 6) AS graf_', ', 15) AS graf_')}), c AS ({SQL['block_class']}),
-w AS (SELECT g.*, cls_same, cls_diff_abs, greatest(0, least(1, coalesce(label, 0))) AS y FROM g JOIN c USING (pair_id) JOIN marca_pares USING (pair_id)),
-l AS (UNPIVOT w ON {_VALUES} INTO NAME feature VALUE x),
-k AS (SELECT feature, abs(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y) + 1e-12)) AS i, CASE WHEN feature LIKE 'graf_%' THEN 'grafia' ELSE 'classe' END AS grupo FROM l GROUP BY 1)
+QUERIES |= {"feature_stats": feature_stats, "feature_label_corr": feature_label_corr, "importance_by_block": importance_by_block}
+SQL["feature_stats"] = _LONG + " SELECT feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, round(min(x), 6) AS lowest, round(max(x), 6) AS highest, stddev_pop(x) < 1e-9 AS constant FROM l GROUP BY 1"
+SQL["feature_label_corr"] = _LONG + f" SELECT feature, round({_CORRELATION}, 6) AS correlation FROM l GROUP BY 1"
+SQL["importance_by_block"] = _LONG + f""", k AS (SELECT feature, abs({_CORRELATION}) AS i, CASE WHEN feature LIKE 'graf_%' THEN 'grafia' ELSE 'classe' END AS grupo FROM l GROUP BY 1)
 SELECT grupo, count(*) AS colunas, round(sum(i), 6) AS soma, round(avg(i), 6) AS media, round(sum(i) / (SELECT sum(i) FROM k), 6) AS parte, first(feature ORDER BY i DESC, feature) AS maior FROM k GROUP BY 1"""
 
 

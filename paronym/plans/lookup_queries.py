@@ -263,17 +263,6 @@ def score_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumns({p: F.round(p, 4) for p in ("p10", "p25", "p50", "p75", "p90")})
 
 
-@_add(_with(_SCORED, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS deviation, min({c})::double AS lowest, max({c})::double AS highest, stddev_pop({c}) < 1e-9 AS constant FROM z" for c in ("score", "other", "ca"))))
-def feature_stats(spark: SparkSession, folder: str) -> DataFrame:
-    made = mt.feature_stats(scored(spark, folder).withColumnRenamed("class_a", "ca"), ["score", "other", "ca"])
-    return _round(made, "mean", "deviation")
-
-
-@_add(_with(_SCORED, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(covar_pop({c}, y) / (stddev_pop({c}) * stddev_pop(y) + 1e-12), 6) AS correlation FROM z" for c in ("score", "other"))))
-def feature_label_corr(spark: SparkSession, folder: str) -> DataFrame:
-    return _round(mt.label_correlations(scored(spark, folder), ["score", "other"]), "correlation")
-
-
 @_add(_with(_SCORED, "SELECT pair_id, score FROM z WHERE y = 0 AND score >= 0.5 ORDER BY score DESC, pair_id LIMIT 10"))
 def top_false_positives(spark: SparkSession, folder: str) -> DataFrame:
     return mt.false_positives(scored(spark, folder), 0.5, top=10).select("pair_id", "score")
