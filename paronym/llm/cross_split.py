@@ -8,10 +8,11 @@ minwise values of its own over its shingles, and a band's bucket is named by
 that is on half of all records only fixes half of the name.  One side enters
 with both orders of its strings.
 
-A bucket whose two sides multiply to many candidates is parted again by further
-minwise values, in several sub-bands, level by level; candidates thus don't grow
-with the square of a hot string.  Such buckets are known from a hashed part of
-the classes; what that part overlooks is only slower, never lost.
+The rows of a bucket whose two sides multiply to many candidates meet by what is
+left of both strings when two letters are deleted: exactly, and only near ones,
+so candidates don't grow with the square of a hot string.  Such buckets are
+known from a hashed part of the classes; what that part overlooks is only
+slower, never lost.
 
 Two edits leave a string of ten letters seven of fifteen shingles, a shorter one
 too few for any number of bands.  Pairs with a string under ``short`` letters
@@ -65,8 +66,8 @@ def minwise(texts: list[str], hashes: int, seed: int, width: int = 2) -> np.ndar
     return out
 
 
-def _bucket_names(bands: int, rows: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds to (c, o, p, x, y) the names of its buckets; ``p`` is the bucket that is parted."""
+def _bucket_names(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives (c, o, x, y) the names of its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,13 +77,12 @@ def _bucket_names(bands: int, rows: int, level: int) -> Callable[[Iterator[pa.Re
             number: dict[str, int] = {}
             left = np.array([number.setdefault(t, len(number)) for t in d["x"]])
             right = np.array([number.setdefault(t, len(number)) for t in d["y"]])
-            least = minwise(list(number), bands * rows, 7919 * level + 1)
+            least = minwise(list(number), bands * rows, 1)
             band = np.arange(1, bands + 1, dtype=np.uint64)
             name = np.zeros((len(number), bands), np.uint64)
             for r in range(rows):
                 name = mixed(name * np.uint64(31) + least[:, r::rows] + band)
-            path = np.array(d["p"], np.int64).astype(np.uint64)[:, None]
-            keys = mixed(mixed(path + name[left]) * np.uint64(31) + name[right]).view(np.int64)
+            keys = mixed(mixed(name[left]) * np.uint64(31) + name[right]).view(np.int64)
             letters = np.array([reduce(lambda s, ch: s | 1 << ord(ch) % 32, t, 0) for t in number], np.uint64)
             bits = (letters[left] << np.uint64(32) | letters[right]).view(np.int64)
             offsets = pa.array(np.arange(0, (batch.num_rows + 1) * bands, bands, dtype=np.int32))
@@ -94,43 +94,93 @@ def _bucket_names(bands: int, rows: int, level: int) -> Callable[[Iterator[pa.Re
     return run
 
 
-def _banded(side: DataFrame, bands: int, rows: int, level: int) -> DataFrame:
+def _banded(side: DataFrame, bands: int, rows: int) -> DataFrame:
     """``(c, o, bits, key)``: a row for each bucket of each row; ``bits`` has a bit for each letter of the one string and of the other."""
-    named = side.select("c", "o", "p", "x", "y").mapInArrow(_bucket_names(bands, rows, level), "c bigint, o smallint, bits bigint, keys array<bigint>")
+    named = side.select("c", "o", "x", "y").mapInArrow(_bucket_names(bands, rows), "c bigint, o smallint, bits bigint, keys array<bigint>")
     return named.select("c", "o", "bits", F.explode("keys").alias("key"))
 
 
-def band_candidates(index: DataFrame, probe: DataFrame, bands: int = 20, rows: int = 2, sub_bands: int = 8, heavy: int = 250_000, levels: int = 4) -> DataFrame:
+#: Strings up to this many letters, both together, are met by what deletions leave of them; longer ones would leave too much.
+_LETTERS = 96
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _left(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the text, of what is left when one letter is deleted, and of what is left when two are."""
+    n = len(text)
+    codes = mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    power, head = np.ones(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    for k in range(n):
+        power[k + 1] = power[k] * _BASE
+        head[k + 1] = head[k] * _BASE + codes[k]
+    part = lambda i, j: head[j] - head[i] * power[j - i]
+    one = np.arange(n)
+    i, j = np.triu_indices(n, 1)
+    first = head[one] * power[n - 1 - one] + part(one + 1, n)
+    second = (head[i] * power[j - i - 1] + part(i + 1, j)) * power[n - 1 - j] + part(j + 1, n)
+    return head[n:], first, second
+
+
+def _deletion_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(c, keys)`` of (c, x, y): what is left when two letters or fewer are deleted from both strings together."""
+    for batch in batches:
+        held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        keys, sizes = [np.zeros(0, np.int64)], [0]
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+            for s in (x, y):
+                if s not in held:
+                    held[s] = _left(s)
+            a, b = held[x], held[y]
+            both = [mixed(mixed(a[i])[:, None] * np.uint64(31) + b[j]).ravel() for i in range(3) for j in range(3 - i)]
+            made = np.unique(np.concatenate(both)).view(np.int64)
+            keys.append(made)
+            sizes.append(len(made))
+            if len(held) > 2000:
+                held.clear()
+        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(keys)))], names=["c", "keys"])
+
+
+def deletion_candidates(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """``(t, e)``: every pair of rows of ``probe`` and ``index``, each (c, x, y), within two edits, and some within four.
+
+    Of strings within two edits two deletions on either side leave the same.
+    So candidates are near ones only, whatever the strings share.
+    """
+
+    def keyed(d: DataFrame, c: str) -> DataFrame:
+        made = d.mapInArrow(_deletion_keys, "c bigint, keys array<bigint>")
+        return made.select(F.col("c").alias(c), F.explode("keys").alias("key"))
+
+    e, t = (d.select("c", "x", "y") for d in (index, probe))
+    return keyed(e, "e").join(keyed(t, "t"), "key").select("t", "e").distinct()
+
+
+def band_candidates(index: DataFrame, probe: DataFrame, bands: int = 20, rows: int = 2, heavy: int = 250_000) -> DataFrame:
     """``(t, e)``: rows of ``probe`` and ``index``, each (c, o, x, y), that share a bucket and whose letters two edits can make the same.
 
-    A bucket of more than ``heavy`` candidates is parted on the next of
-    ``levels`` levels; those of the last level are taken as they are.
-    Parting costs a further pass over the strings, so it starts where it saves more.
+    The rows of buckets of more than ``heavy`` candidates meet by what deletions
+    leave of them instead, which loses no pair within two edits; those of very
+    long strings are taken as they are.
     """
-    found = []
-    e, t = (d.withColumn("p", F.lit(0).cast("bigint")) for d in (index, probe))
-    for level in range(levels):
-        count = bands if level == 0 else sub_bands
-        ek, tk = (_banded(d, count, rows, level) for d in (e, t))
-        hot = None
-        if level + 1 < levels:
-            seen = lambda d, n: _banded(d.where(F.pmod(F.xxhash64("c"), F.lit(SEEN)) == 0), count, rows, level).groupBy("key").agg(F.count("*").alias(n))  # noqa: B023, E731
-            both = seen(e, "ne").join(seen(t, "nt"), "key").where(F.col("ne") * F.col("nt") > heavy / SEEN**2)
-            hot = cut_lineage(both.select("key"))
-            if hot.isEmpty():
-                hot = None
-        if hot is not None:
-            # The keys of heavy buckets are few, as each has many rows; the optimizer broadcasts them while they are small.
-            parted = [rows_.join(hot, "key").join(side.drop("p"), ["c", "o"]).select("c", "o", "x", "y", F.col("key").alias("p")) for rows_, side in ((ek, index), (tk, probe))]
-            ek, tk = (d.join(hot, "key", "left_anti") for d in (ek, tk))
-        met = ek.select("key", F.col("c").alias("e"), F.col("bits").alias("other")).join(tk.select("key", F.col("c").alias("t"), "bits"), "key")
-        # An edit takes one letter from the set at most and brings one at most.
-        found.append(met.where(F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= 4).select("t", "e"))
-        if hot is None:
-            break
-        e, t = map(cut_lineage, parted)
+    ek, tk = (_banded(d, bands, rows) for d in (index, probe))
+    seen = lambda d, n: _banded(d.where(F.pmod(F.xxhash64("c"), F.lit(SEEN)) == 0), bands, rows).groupBy("key").agg(F.count("*").alias(n))
+    both = seen(index, "ne").join(seen(probe, "nt"), "key").where(F.col("ne") * F.col("nt") > heavy / SEEN**2)
+    hot = cut_lineage(both.select("key"))
+    # An edit takes one letter from the set at most and brings one at most.
+    alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= 4
+    meet = lambda e, t: e.select("key", F.col("c").alias("e"), F.col("bits").alias("other")).join(t.select("key", F.col("c").alias("t"), "bits"), "key").where(alike).select("t", "e")
+    if hot.isEmpty():
+        return meet(ek, tk).distinct()
+    letters = F.length("x") + F.length("y")
+    # The keys of heavy buckets are few, as each has many rows; the optimizer broadcasts them while they are small.
+    in_hot = [cut_lineage(rows_.join(hot, "key").join(side.select("c", "o", letters.alias("letters")), ["c", "o"]).select("c", "o", "bits", "key", "letters")) for rows_, side in ((ek, index), (tk, probe))]
+    # A long string's partner has two letters fewer at least.
+    brief = [side.join(d.where(F.col("letters") <= _LETTERS).select("c", "o"), ["c", "o"], "left_semi") for d, side in zip(in_hot, (index, probe))]
+    long = [d.where(F.col("letters") > _LETTERS - 2) for d in in_hot]
+    found = [meet(*(d.join(hot, "key", "left_anti") for d in (ek, tk))), deletion_candidates(*brief), meet(*long)]
     return reduce(DataFrame.union, found).distinct()
 
+
 def _cuts(length: Column, parts: int) -> list[Column]:
     """Borders of ``parts`` segments of a string of ``length``; the later ones are the longer."""
     return [F.floor(length * i / parts).cast("int") for i in range(parts + 1)]

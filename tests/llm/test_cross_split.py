@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paronym.llm.cross_split import band_candidates, minwise, overlaps
+from paronym.llm.cross_split import band_candidates, deletion_candidates, minwise, overlaps
 
 
 def _edits(a, b):
@@ -90,6 +90,27 @@ def test_a_hot_mark_whose_partners_begin_alike_makes_few_candidates(spark):
     assert len(found) < 0.01 * n**2
 
 
+def test_heavy_buckets_lose_no_near_pair(spark):
+    rng = random.Random(4)
+    names = [("hotmarkofmany", "mercadodecasa" + _word(rng, 3)) for _ in range(1500)] + [("hotmarkofmany", "k" * 90 + _word(rng, 10)) for _ in range(20)]
+    near = [(x, _mutated(rng, y, 2)) for x, y in names]
+    sides = _sides(spark, near, names)
+    edits = lambda t, e: _edits(names[t][1], near[e][1])
+    whole = {(r.t, r.e) for r in band_candidates(*sides, heavy=10**12).collect() if r.t == r.e}
+    parted = {(r.t, r.e) for r in band_candidates(*sides, heavy=100).collect()}
+    assert len(whole) > 1500 and all(edits(t, e) <= 2 for t, e in whole) and whole <= parted
+    assert len(parted) < 0.06 * 1500**2
+
+
+def test_deletions_meet_every_pair_within_two_edits_and_few_others(spark):
+    rng = random.Random(8)
+    probe = [(_mutated(rng, "casa", i % 3), _mutated(rng, "butaxuve", rng.randrange(3))) for i in range(60)] + [("", ""), ("", "a"), ("ab", "")]
+    index = [(_mutated(rng, "casa", rng.randrange(3)), _mutated(rng, "butaxuve", i % 3)) for i in range(60)] + [("", ""), ("b", ""), ("ba", "")]
+    found = {(r.t, r.e) for r in deletion_candidates(*_sides(spark, index, probe)).collect()}
+    edits = {(t, e): _edits(x, u) + _edits(y, v) for t, (x, y) in enumerate(probe) for e, (u, v) in enumerate(index)}
+    assert {p for p, n in edits.items() if n <= 2} <= found and all(edits[p] <= 4 for p in found)
+
+
 def test_minwise_agrees_with_the_jaccard_similarity():
     rng = random.Random(2)
     a, b = _word(rng, 300), _word(rng, 300)
