@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.term_vectors import Terms, term_sums
 from ..functions.text import STRUCTURAL_WORDS, base_form, name_tokens
 
 
@@ -73,9 +74,14 @@ def word_terms(text: str):
     return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
 
 
+def char_words(text: str):
+    """The words whose grams are a text's terms."""
+    return F.filter(F.split(F.lower(F.col(text)), "\\s+"), lambda w: w != "")
+
+
 def char_terms(text: str, low: int = 3, high: int = 5):
     """Character grams inside words padded by a blank on either side; a word of no more than the gram's size counts once in all."""
-    words = F.transform(F.filter(F.split(F.lower(F.col(text)), "\\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    words = F.transform(char_words(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     none = F.array().cast("array<string>")
 
     def grams(w):
@@ -94,10 +100,20 @@ def tfidf_vocabulary(counts: DataFrame, total: DataFrame, least_df: int = 3, max
     then by name.
     """
     sums = counts.groupBy("term").agg(F.sum(F.col("n") * F.col("copies")).alias("tf"), F.sum("copies").alias("df")).where(F.col("df") >= least_df)
+    return _kept(sums, total, max_terms)
+
+
+def _kept(sums: DataFrame, total: DataFrame, max_terms: int) -> DataFrame:
     kept = sums.orderBy(F.desc("tf"), "term").limit(max_terms)
     return kept.crossJoin(F.broadcast(total)).select("term", "tf", "df", (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def fitted_vocabulary(texts: DataFrame, units: str, terms: Terms, least_df: int = 3, max_terms: int = 20_000) -> DataFrame:
+    """The same vocabulary of texts that come as lists of ``units``; a task brings one row a term."""
+    sums = term_sums(texts, units, terms).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(F.col("df") >= least_df)
+    return _kept(sums, texts.agg(F.count("*").alias("docs")), max_terms)
+
+
 def term_counts(texts: DataFrame, ident: str, terms, copies: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Term counts ``(ident, copies, term, n)`` and the one row ``docs``; without a column of ``copies`` each text stands for itself."""
     times = F.lit(1).cast("bigint") if copies is None else F.col(copies)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.term_vectors import Terms, char_grams, itself, text_cosines
 from ..operators import lookups as lk
 from ..operators import metrics as mt
 from ..operators import sampling as sp
@@ -116,12 +117,10 @@ r AS (SELECT ident, term, (ln(n) + 1) * idf AS w FROM n JOIN i USING (term)), l
 _COSINE = "SELECT p.pair_id, round(coalesce(sum(x.w * y.w), 0), 5) AS cosseno FROM pares p LEFT JOIN (l x JOIN l y ON x.term = y.term AND x.ident = left(y.ident, length(y.ident) - 1) || 'a' AND right(y.ident, 1) = 'b') ON x.ident = p.pair_id || 'a' GROUP BY 1"
 
 
-def _cosines(spark: SparkSession, folder: str, terms, size: int) -> DataFrame:
-    specs = _specs(spark, folder)
-    _, vectors = lk.tfidf(_documents(specs), "ident", terms, max_terms=size)
-    named = specs.select("pair_id", F.concat(F.col("pair_id").cast("string"), F.lit("a")).alias("l"), F.concat(F.col("pair_id").cast("string"), F.lit("b")).alias("r"))
-    found = lk.vector_cosines(named, "pair_id", "l", "r", vectors)
-    return specs.select("pair_id").join(found, "pair_id", "left").select("pair_id", F.round(F.coalesce("cosine", F.lit(0.0)), 5).alias("cosseno"))
+def _cosines(spark: SparkSession, folder: str, units, terms: Terms, size: int) -> DataFrame:
+    pairs = _specs(spark, folder).select("pair_id", units("sa").alias("ua"), units("sb").alias("ub"))
+    vocabulary = lk.fitted_vocabulary(pairs.select(F.explode(F.array("ua", "ub")).alias("u")), "u", terms, max_terms=size)
+    return text_cosines(pairs, "pair_id", "ua", "ub", vocabulary, terms).select("pair_id", F.round("cosine", 5).alias("cosseno"))
 
 
 @_add(_with(_tfidf_sql("word", 20_000), "SELECT term, tf, df, round(idf, 6) AS idf FROM i"))
@@ -136,12 +135,12 @@ def unigram_idf(spark: SparkSession, folder: str) -> DataFrame:
 
 @_add(_with(_tfidf_sql("word", 20_000), _COSINE))
 def tfidf_word_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    return _cosines(spark, folder, lk.word_terms("spec"), 20_000)
+    return _cosines(spark, folder, lk.word_terms, itself, 20_000)
 
 
 @_add(_with(_tfidf_sql("char", 10_000), _COSINE))
 def tfidf_char_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    return _cosines(spark, folder, lk.char_terms("spec"), 10_000)
+    return _cosines(spark, folder, lk.char_words, char_grams, 10_000)
 
 
 @_add("SELECT 'l_quantity' AS \"column\", round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS scale FROM lineitem UNION ALL SELECT 'l_tax', round(avg(l_tax), 6), round(stddev_pop(l_tax), 6) FROM lineitem UNION ALL SELECT 'l_one', 1, 1 FROM (SELECT 1)")

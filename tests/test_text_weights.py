@@ -4,7 +4,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from paronym.functions.arrow import stem
+from paronym.functions.term_vectors import char_grams, itself, text_cosines
 from paronym.operators import features as ft
 from paronym.operators import lookups as lk
 
@@ -73,3 +75,25 @@ def test_hashed_vectors_are_stable_and_near_for_near_texts(spark):
     near, blank = held.select("a", cosine(F.col("u"), F.col("v")).alias("n"), cosine(F.col("u"), F.col("w")).alias("f"), F.col("v")[0].alias("z")).orderBy(F.desc("a")).collect()
     assert near.n > 0.8 > 0.3 > near.f and (blank.n, blank.f, blank.z) == (0.0, 0.0, 0.0)
     assert (gram_vector("botas", 64) == gram_vector(" botas ", 64)).all()
+
+
+def test_cosines_without_rows_for_terms_equal_those_by_joins(spark, tmp_path):
+    words = ["casa", "ção", "ab", "x", "𝒳y", "botões", "a/b", "21"]
+    rows = [(i, " ".join(words[(i * k) % 8] for k in range(i % 7)), " ".join(words[(i + k) % 8] for k in range(i % 5)) + ("  casa" * (i % 3))) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "pair_id bigint, sa string, sb string")
+    for units, terms, counted in ((lk.word_terms, itself, lk.word_terms), (lk.char_words, char_grams, lk.char_terms)):
+        docs = pairs.select(F.concat("pair_id", F.lit("a")).alias("ident"), F.col("sa").alias("spec")).union(pairs.select(F.concat("pair_id", F.lit("b")), "sb"))
+        vocabulary, vectors = lk.tfidf(docs, "ident", counted("spec"), max_terms=20)
+        named = pairs.select("pair_id", F.concat("pair_id", F.lit("a")).alias("l"), F.concat("pair_id", F.lit("b")).alias("r"))
+        joined = {r.pair_id: r.cosine for r in lk.vector_cosines(named, "pair_id", "l", "r", vectors).collect()}
+        cut = pairs.select("pair_id", units("sa").alias("ua"), units("sb").alias("ub"))
+        fitted = lk.fitted_vocabulary(cut.select(F.explode(F.array("ua", "ub")).alias("u")), "u", terms, max_terms=20)
+        assert sorted(map(tuple, fitted.collect())) == sorted(map(tuple, vocabulary.collect()))
+        found = {r.pair_id: r.cosine for r in text_cosines(cut, "pair_id", "ua", "ub", fitted, terms).collect()}
+        assert len(found) == 60 and found == pytest.approx({i: joined.get(i, 0.0) for i in range(60)})
+
+
+def test_cosine_queries_join_no_term_rows(spark):
+    for name in ("tfidf_char_cosine", "tfidf_word_cosine"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Generate" not in plan
