@@ -24,7 +24,10 @@ Terms = Callable[[str], list[str]]
 #: Units worked on at once, texts of more being taken whole; entries of a task's memory before it is emptied.
 _TOGETHER, _HELD = 20_000, 200_000
 
-_stem = lru_cache(1 << 16)(stem)
+
+@lru_cache(1 << 16)
+def known_stem(word: str) -> str:
+    return stem(word)
 
 
 def itself(unit: str) -> list[str]:
@@ -39,13 +42,13 @@ def char_grams(word: str, low: int = 3, high: int = 5) -> list[str]:
 
 def stem_grams(word: str) -> list[str]:
     """Character grams of a word's stem."""
-    return char_grams(s) if (s := _stem(word)) else []
+    return char_grams(s) if (s := known_stem(word)) else []
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_lists(words: pd.Series) -> pd.Series:
     """The stems of lists of words."""
-    return words.map(lambda x: [] if x is None else [_stem(w) for w in x])
+    return words.map(lambda x: [] if x is None else [known_stem(w) for w in x])
 
 
 def _pieces(batch: pa.RecordBatch, units: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import alignment, hashed_vector, stems, string_similarities
+from ..functions.arrow import hashed_vector, string_similarities
 from ..functions.composite import DRIVERS, directional_score
 from ..functions.similarity import (
     anagram_similarity,
@@ -35,6 +35,7 @@ from ..functions.similarity import (
     ratio,
     token_metrics,
 )
+from ..functions.term_vectors import Terms, char_grams, item_cosines, itself, stem_grams, stem_lists, text_cosines
 from ..functions.text import (
     NOISE_WORDS,
     activity_kind,
@@ -54,7 +55,7 @@ from ..functions.text import (
     tokens,
 )
 from ..session import cut_lineage
-from .lookups import char_terms, name_lookup, term_counts, tfidf_vectors, tfidf_vocabulary, vector_cosines, with_class_priors, word_terms
+from .lookups import char_words, fitted_vocabulary, name_lookup, with_class_priors, word_terms
 
 
 def stop_words() -> list[str]:
@@ -165,17 +166,17 @@ def _num(c: Column) -> Column:
     return c.cast("double")
 
 
+def _words(text: Column, stop_words: tuple[str, ...]) -> Column:
+    return spec_tokens(text, list(stop_words) or ["\u0000"])
+
+
 def stemmed(texts: DataFrame, text: str, stop_words: tuple[str, ...]) -> DataFrame:
     """``(text, stems, stem_text)`` of each distinct text: its words without stop words, stemmed, in order; and these joined by blanks.
 
-    Every distinct word is stemmed once.
+    A word is stemmed once a task.
     """
     each = texts.select(F.col(text)).distinct()
-    words = each.select(text, F.posexplode_outer(spec_tokens(F.col(text), list(stop_words) or ["\u0000"])).alias("p", "w"))
-    known = words.select("w").where("w is not null").distinct().withColumn("stem", stems("w"))
-    placed = words.join(known, "w", "left").groupBy(text).agg(F.array_sort(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("p", "stem")))).alias("x"))
-    listed = placed.select(text, F.transform("x", lambda x: x["stem"]).alias("stems"))
-    return listed.withColumn("stem_text", F.array_join("stems", " "))
+    return each.select(text, stem_lists(_words(F.col(text), stop_words)).alias("stems")).withColumn("stem_text", F.array_join("stems", " "))
 
 
 def with_stems(df: DataFrame, specs: DataFrame) -> DataFrame:
@@ -190,11 +191,16 @@ def spec_stem_table(pairs: DataFrame, fitted: Fitted) -> DataFrame:
     return stemmed(pairs.select(F.explode(F.array("spec_a", "spec_b")).alias("spec")), "spec", fitted.stop_words)
 
 
+def description_weights(pairs: DataFrame, fitted: Fitted, units: Callable[[str], Column], terms: Terms, size: int) -> DataFrame:
+    """``(term, tf, df, idf)`` of the stemmed descriptions of both sides, copies counted."""
+    words = pairs.select(F.explode(F.array("spec_a", "spec_b")).alias("spec")).select(_words(F.col("spec"), fitted.stop_words).alias("words"))
+    texts = words.select(F.array_join(stem_lists("words"), " ").alias("spec"))
+    return cut_lineage(fitted_vocabulary(texts.select(units("spec").alias("units")), "units", terms, max_terms=size))
+
+
 def fit_term_weights(pairs: DataFrame, fitted: Fitted) -> Fitted:
     """``fitted`` with the weights of words and characters of the stemmed descriptions of both sides, copies counted."""
-    texts = _descriptions(pairs, cut_lineage(spec_stem_table(pairs, fitted)))
-    weights = [cut_lineage(tfidf_vocabulary(*term_counts(texts, "spec", terms, "copies"), max_terms=size)) for terms, size in ((word_terms("spec"), 20_000), (char_terms("spec"), 10_000))]
-    return replace(fitted, words=weights[0], chars=weights[1])
+    return replace(fitted, words=description_weights(pairs, fitted, word_terms, itself, 20_000), chars=description_weights(pairs, fitted, char_words, char_grams, 10_000))
 
 
 def with_forms(pairs: DataFrame) -> DataFrame:
@@ -338,45 +344,19 @@ def generic_block(df: DataFrame, fitted: Fitted) -> DataFrame:
     return df.withColumns({n: _num(c) for n, c in zip(RADICAL, pure)} | against).drop("ra", "rb", "pa", "pb", "jr", "jp", "sh", "n_shared")
 
 
-def _descriptions(df: DataFrame, specs: DataFrame) -> DataFrame:
-    """``(spec, copies)``: each distinct stemmed description and how many of both sides have it."""
-    both = df.select(F.explode(F.array("spec_a", "spec_b")).alias("spec")).groupBy("spec").agg(F.count("*").alias("n"))
-    return both.join(specs, "spec").groupBy(F.col("stem_text").alias("spec")).agg(F.sum("n").alias("copies"))
-
-
 def item_matches(df: DataFrame, fitted: Fitted, key: str = "pair_id") -> DataFrame:
     """``(key, best, top3, aligned)`` of the character cosines between the stemmed items of both descriptions.
 
     Items without a stem are dropped.  They are weighted by the fitted
-    characters, once a distinct text; cosines are an equi-join on pair and term,
-    so items without a common term cost nothing.
+    characters; a pair's items meet inside one batch, so nothing is shuffled.
     """
-    fitted = fit_term_weights(df, fitted) if fitted.chars is None else fitted
-    raw = df.select(key, F.posexplode(spec_items(F.col("spec_a"))).alias("p", "raw")).withColumn("side", F.lit("a")).unionByName(df.select(key, F.posexplode(spec_items(F.col("spec_b"))).alias("p", "raw")).withColumn("side", F.lit("b")))
-    known = cut_lineage(stemmed(raw, "raw", fitted.stop_words).where("stem_text <> ''").select("raw", F.col("stem_text").alias("item")))
-    items = cut_lineage(raw.join(known, "raw").select(key, "side", "item", (F.row_number().over(Window.partitionBy(key, "side").orderBy("p")) - 1).alias("p")))
-    vectors = tfidf_vectors(term_counts(known.select("item").distinct(), "item", char_terms("item"))[0], fitted.chars)
-    weighted = items.join(vectors.withColumnRenamed("ident", "item"), "item")
-    a = weighted.where("side = 'a'").select(key, F.col("p").alias("r"), "term", F.col("weight").alias("wa"))
-    b = weighted.where("side = 'b'").select(key, F.col("p").alias("c"), "term", F.col("weight").alias("wb"))
-    cells = a.join(b, [key, "term"]).groupBy(key, "r", "c").agg(F.sum(F.col("wa") * F.col("wb")).alias("x"))
-    sizes = items.groupBy(key).agg(F.sum((F.col("side") == "a").cast("int")).alias("n"), F.sum((F.col("side") == "b").cast("int")).alias("m"))
-    found = cells.groupBy(key).agg(F.collect_list(F.struct("r", "c", "x")).alias("cells")).join(sizes, key)
-    flat = F.transform(F.sequence(F.lit(0), F.col("n") * F.col("m") - 1), lambda i: F.coalesce(F.element_at(F.col("at"), i.cast("int")), F.lit(0.0)))
-    found = found.withColumn("at", F.map_from_entries(F.transform("cells", lambda c: F.struct((c["r"] * F.col("m") + c["c"]).cast("int").alias("key"), c["x"].alias("value"))))).withColumn("flat", flat)
-    down = F.sort_array("flat", asc=False)
-    top = F.slice(down, 1, 3)
-    return found.select(key, F.array_max("flat").alias("best"), (F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.size(top)).alias("top3"), alignment("n", "m", "flat").alias("aligned"))
-
-
-def encoded(texts: DataFrame, text: str, encoder: Encoder, unit: bool = False) -> DataFrame:
-    """``(text, vector)`` of each distinct text."""
-    return texts.select(F.col(text)).distinct().withColumn("vector", encoder(F.col(text), unit=unit))
-
-
-def _vector_cosines(df: DataFrame, vectors: DataFrame, a: str, b: str, out: str, longest_norm: str | None = None) -> DataFrame:
-    va, vb = (vectors.select(F.col(vectors.columns[0]).alias(c), F.col("vector").alias(f"v{i}")) for i, c in enumerate((a, b)))
-    made = df.join(va, a, "left").join(vb, b, "left").withColumn(out, F.coalesce(cosine(F.col("v0"), F.col("v1")), F.lit(0.0)))
+    chars = description_weights(df, fitted, char_words, char_grams, 10_000) if fitted.chars is None else fitted.chars
+    items = lambda c: F.filter(F.transform(spec_items(F.col(c)), lambda x: _words(x, fitted.stop_words)), lambda x: F.size(x) > 0)
+    return item_cosines(df.select(key, items("spec_a").alias("ia"), items("spec_b").alias("ib")), key, "ia", "ib", chars, stem_grams)
+
+
+def _vector_cosines(df: DataFrame, encoder: Encoder, a: Column, b: Column, out: str, longest_norm: str | None = None, unit: bool = False) -> DataFrame:
+    made = df.withColumns({"v0": encoder(a, unit=unit), "v1": encoder(b, unit=unit)}).withColumn(out, F.coalesce(cosine(F.col("v0"), F.col("v1")), F.lit(0.0)))
     if longest_norm:
         made = made.withColumn(longest_norm, F.coalesce(F.greatest(norm(F.col("v0")), norm(F.col("v1"))), F.lit(0.0)))
     return made.drop("v0", "v1")
@@ -388,22 +368,13 @@ ENCODED = 200
 
 def cosine_block(df: DataFrame, specs: DataFrame, fitted: Fitted) -> DataFrame:
     """Cosines of the stemmed descriptions, by words, by characters and by the encoder's vectors, and of the names' vectors."""
-    pairs = df.select("pair_id", "spec_a", "spec_b", "a", "b", "a_base", "b_base")
-    texts = specs.select("spec", "stem_text")
-    for s in "ab":
-        pairs = pairs.join(texts.select(F.col("spec").alias(f"spec_{s}"), F.col("stem_text").alias(f"t{s}")), f"spec_{s}", "left")
-    pairs = cut_lineage(pairs.drop("spec_a", "spec_b"))
-    distinct = texts.select("stem_text").distinct()
-    made = pairs
-    for name, terms, vocabulary in (("spec_cosine_tfidf_word", word_terms("stem_text"), fitted.words), ("spec_cosine_tfidf_char", char_terms("stem_text"), fitted.chars)):
-        vectors = tfidf_vectors(term_counts(distinct, "stem_text", terms)[0], vocabulary)
-        found = vector_cosines(pairs, "pair_id", "ta", "tb", vectors)
-        made = made.join(found.withColumnRenamed("cosine", name), "pair_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    made = _vector_cosines(made, encoded(distinct, "stem_text", fitted.encoder, unit=True), "ta", "tb", "spec_cosine_emb")
+    made = cut_lineage(df.select("pair_id", "a", "b", "a_base", "b_base", *[F.array_join(f"s{s}_toks", " ").alias(f"t{s}") for s in "ab"]))
+    for name, units, terms, vocabulary in (("spec_cosine_tfidf_word", word_terms, itself, fitted.words), ("spec_cosine_tfidf_char", char_words, char_grams, fitted.chars)):
+        found = text_cosines(made.select("pair_id", units("ta").alias("ua"), units("tb").alias("ub")), "pair_id", "ua", "ub", vocabulary, terms)
+        made = made.join(found.withColumnRenamed("cosine", name), "pair_id")
+    made = _vector_cosines(made, fitted.encoder, F.col("ta"), F.col("tb"), "spec_cosine_emb", unit=True)
     for columns, out, length in ((("a", "b"), "brand_emb_cosine", "brand_emb_norm_max"), (("a_base", "b_base"), "brand_emb_cosine_normalized", None)):
-        cut = made.withColumns({f"x{i}": F.substring(c, 1, ENCODED) for i, c in enumerate(columns)})
-        names = pairs.select(F.explode(F.array(*[F.substring(c, 1, ENCODED) for c in columns])).alias("name"))
-        made = _vector_cosines(cut, encoded(names, "name", fitted.encoder), "x0", "x1", out, length).drop("x0", "x1")
+        made = _vector_cosines(made, fitted.encoder, *[F.substring(c, 1, ENCODED) for c in columns], out, length)
     return made.select("pair_id", *COSINE)
 
 

@@ -97,3 +97,14 @@ def test_cosine_queries_join_no_term_rows(spark):
     for name in ("tfidf_char_cosine", "tfidf_word_cosine"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Generate" not in plan
+
+
+def test_item_matches_shuffle_no_pair(spark):
+    chars = lk.fitted_vocabulary(spark.createDataFrame([(["bols", "vas"],)] * 3, "u array<string>"), "u", char_grams)
+    rows = [(0, "bolsas; ;vasos\nbolsas", "vasos; 12", ""), (1, "bolsas;" * 40 + "vasos", "vasos;zebra" * 30, ""), (2, "", "bolsas", ""), (3, "zebra", "zebra", ""), (4, "bolsas; vasos", "vasos; bolsas", "")]
+    df = spark.createDataFrame(rows, "pair_id bigint, spec_a string, spec_b string, x string")
+    made = ft.item_matches(df, ft.Fitted(None, None, (), chars=chars))
+    assert "Join" not in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+    found = {r.pair_id: (r.best, r.top3, r.aligned) for r in made.collect()}
+    assert set(found) == {0, 1, 4}
+    assert found[0] == pytest.approx((1, 1 / 3, 1)) and found[4] == pytest.approx((1, 2 / 3, 1))
