@@ -59,7 +59,8 @@ def calibrated(p: Column, slope: float, shift: float) -> Column:
 
 def platt(scored: DataFrame, score: str = "score", label: str = "y") -> tuple[float, float]:
     """Slope and shift of a logistic regression on the logit; with one class only the score stays as it is."""
-    rows = with_vector(scored.select(logit(F.col(score)).alias("l"), F.col(label).cast("double").alias("label")), ["l"])
+    # The fit reads its rows again and again; scoring them is what costs.
+    rows = with_vector(cut_lineage(scored.select(logit(F.col(score)).alias("l"), F.col(label).cast("double").alias("label"))), ["l"])
     known = rows.agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).first()
     if known.k < 2:
         return 1.0, 0.0
@@ -115,9 +116,9 @@ def bagging(train: DataFrame, validation: DataFrame, kinds: tuple[str, ...] = ("
     weight = max(float(class_weight(train, "label").first()[0] or 0.0), 1.0)
     weighed = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(weight)).otherwise(F.lit(1.0)))
     for i in range(max(1, members)):
+        own = seed + 1000 * i
+        drawn = cut_lineage(bootstrap(weighed, key, 1.0, own).withColumn("label", F.col("label").cast("double")))  # the kinds share it
         for kind in kinds:
-            own = seed + 1000 * i
-            drawn = cut_lineage(bootstrap(weighed, key, 1.0, own).withColumn("label", F.col("label").cast("double")))
             fit = {"logistica": logistic_member, "floresta": forest_member}.get(kind)
             if fit is None:
                 times = F.when(F.col("label") == 1, F.lit(round(weight))).otherwise(F.lit(1))

@@ -35,9 +35,17 @@ def simple_features(pairs: DataFrame) -> DataFrame:
 
 def _prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of the three splits with a vector; scales come from the training rows alone."""
-    rows = stratified_split(simple_features(clean(spark, folder)), "pair_id", "label")
-    train = rows.where("split = 'treino'")
-    ready = cut_lineage(md.with_vector(lk.scaled(rows, COLUMNS, lk.scaler(train, COLUMNS)), COLUMNS))
+    rows = _split_rows(clean(spark, folder))
+    return _ready(rows, lk.scaler(rows.where("split = 'treino'"), COLUMNS))
+
+
+def _split_rows(pairs: DataFrame) -> DataFrame:
+    """Features and split of every pair, written once."""
+    return cut_lineage(stratified_split(simple_features(pairs), "pair_id", "label"))
+
+
+def _ready(rows: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ready = cut_lineage(md.with_vector(lk.scaled(rows, COLUMNS, scales), COLUMNS))
     return tuple(ready.where(F.col("split") == s).drop("split") for s in ("treino", "validacao", "teste"))
 
 
@@ -51,9 +59,9 @@ def model_bagging(spark: SparkSession, folder: str) -> DataFrame:
 def reloaded_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The scores of ``model_bagging`` by members that were saved and loaded again, with lookups and scales."""
     pairs = clean(spark, folder)
-    rows = stratified_split(simple_features(pairs), "pair_id", "label")
-    scales = lk.scaler(rows.where("split = 'treino'"), COLUMNS)
-    train, validation, _ = _prepared(spark, folder)
+    rows = _split_rows(pairs)
+    scales = cut_lineage(lk.scaler(rows.where("split = 'treino'"), COLUMNS))
+    train, validation, _ = _ready(rows, scales)
     made = Bundle(ft.Fitted(lk.token_frequencies(pairs), lk.class_pair_priors(pairs), ()), COLUMNS, scales, md.bagging(train, validation, members=3), 0.5)
     path = scratch_path(spark)
     save_bundle(spark, made, path)

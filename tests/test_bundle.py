@@ -47,3 +47,13 @@ def test_signature_takes_no_account_of_order_but_of_copies(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
     assert table_signature(df) == table_signature(df.select("y", "x").orderBy(F.desc("x")))
     assert table_signature(df) != table_signature(df.union(df))
+
+
+def test_members_of_a_round_share_one_bootstrap(spark, monkeypatch):
+    from paronym.operators import models as md
+
+    drawn = []
+    monkeypatch.setattr(md, "bootstrap", lambda df, key, share, seed: (drawn.append(seed), df)[1])
+    df = md.with_vector(spark.createDataFrame([(i, i / 40, int(i % 7 > 3)) for i in range(40)], "pair_id int, f double, label int"), ["f"])
+    assert len(md.bagging(df, df, ("logistica", "logistica"), members=2).members) == 4
+    assert drawn == [42, 1042]
