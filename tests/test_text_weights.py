@@ -108,3 +108,9 @@ def test_item_matches_shuffle_no_pair(spark):
     found = {r.pair_id: (r.best, r.top3, r.aligned) for r in made.collect()}
     assert set(found) == {0, 1, 4}
     assert found[0] == pytest.approx((1, 1 / 3, 1)) and found[4] == pytest.approx((1, 2 / 3, 1))
+
+
+def test_stems_of_descriptions_need_no_join(spark):
+    made = ft.with_stems(spark.createDataFrame([("roupas; bolsas", ""), ("", "12; roupas roupas")], "spec_a string, spec_b string"), FITTED)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.sa_toks, r.sb_toks) for r in made.collect()] == [([stem("roupas"), stem("bolsas")], []), ([], [stem("roupas")] * 2)]
