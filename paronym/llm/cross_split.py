@@ -12,7 +12,9 @@ The rows of a bucket whose two sides multiply to many candidates meet by what is
 left of both strings when two letters are deleted: exactly, and only near ones,
 so candidates don't grow with the square of a hot string.  Such buckets are
 known from a hashed part of the classes; what that part overlooks is only
-slower, never lost.
+slower, never lost.  Bands and deletions are worked on in parts, each written
+before the next, so that the shuffle files of all of them never lie on disk
+together.
 
 Two edits leave a string of ten letters seven of fifteen shingles, a shorter one
 too few for any number of bands.  Pairs with a string under ``short`` letters
@@ -30,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -38,11 +40,15 @@ from .text_scan import mixed
 
 #: One class in so many is looked at to find heavy buckets.
 SEEN = 16
+#: Bands meet in so many parts one after the other, and deletions in so many at most; the shuffle files of one part go before the next.
+BAND_PARTS, DELETION_PARTS = 2, 4
+#: Rows from which on deletions meet in parts.
+PART_ROWS = 50_000
 _START, _END = 0x110000, 0x110001  # beyond any character
 
 
-def minwise(texts: list[str], hashes: int, seed: int, width: int = 2) -> np.ndarray:
-    """The least value of each of ``hashes`` hash functions over the shingles of each text, as (texts, hashes)."""
+def minwise(texts: list[str], hashes: int, seed: int, width: int = 2, some: slice = slice(None)) -> np.ndarray:
+    """The least value of each of ``hashes`` hash functions, or ``some`` of them, over the shingles of each text, as (texts, hashes)."""
     pads = width - 1
     sizes = np.array([len(t) for t in texts], np.int64) + 2 * pads
     ends = np.cumsum(sizes)
@@ -58,16 +64,25 @@ def minwise(texts: list[str], hashes: int, seed: int, width: int = 2) -> np.ndar
     counts = sizes - pads
     inside = at[: len(code)] < np.repeat(counts, sizes)[: len(code)]
     code, begin = code[inside], np.cumsum(counts) - counts
-    salts = np.random.default_rng(seed).integers(0, 2**63, (hashes, 2)).astype(np.uint64)
-    out = np.empty((len(texts), hashes), np.uint64)
+    salts = np.random.default_rng(seed).integers(0, 2**63, (hashes, 2)).astype(np.uint64)[some]
+    out = np.empty((len(texts), len(salts)), np.uint64)
     for k, (a, b) in enumerate(salts):
         h = (code ^ b) * (a | np.uint64(1))
         out[:, k] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), begin)
     return out
 
 
-def _bucket_names(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Gives (c, o, x, y) the names of its buckets."""
+def _letter_bits(texts: list[str]) -> np.ndarray:
+    """A number for each text, with a bit for each letter of it; letters share 32 bits."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    bits = np.uint64(1) << (codes % 32).astype(np.uint64)
+    bits[ends - 1] = 0
+    return np.bitwise_or.reduceat(bits, np.concatenate([[0], ends[:-1]]))
+
+
+def _bucket_names(bands: int, rows: int, some: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives (c, o, x, y) the names of its buckets in ``some`` of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,15 +92,15 @@ def _bucket_names(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]],
             number: dict[str, int] = {}
             left = np.array([number.setdefault(t, len(number)) for t in d["x"]])
             right = np.array([number.setdefault(t, len(number)) for t in d["y"]])
-            least = minwise(list(number), bands * rows, 1)
-            band = np.arange(1, bands + 1, dtype=np.uint64)
-            name = np.zeros((len(number), bands), np.uint64)
+            least = minwise(list(number), bands * rows, 1, some=slice(some.start * rows, some.stop * rows))
+            band = np.arange(some.start + 1, some.stop + 1, dtype=np.uint64)
+            name = np.zeros((len(number), len(some)), np.uint64)
             for r in range(rows):
                 name = mixed(name * np.uint64(31) + least[:, r::rows] + band)
             keys = mixed(mixed(name[left]) * np.uint64(31) + name[right]).view(np.int64)
-            letters = np.array([reduce(lambda s, ch: s | 1 << ord(ch) % 32, t, 0) for t in number], np.uint64)
+            letters = _letter_bits(list(number))
             bits = (letters[left] << np.uint64(32) | letters[right]).view(np.int64)
-            offsets = pa.array(np.arange(0, (batch.num_rows + 1) * bands, bands, dtype=np.int32))
+            offsets = pa.array(np.arange(0, (batch.num_rows + 1) * len(some), len(some), dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("c"), batch.column("o"), pa.array(bits), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
                 names=["c", "o", "bits", "keys"],
@@ -94,65 +109,140 @@ def _bucket_names(bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _banded(side: DataFrame, bands: int, rows: int) -> DataFrame:
+def _banded(side: DataFrame, bands: int, rows: int, some: range | None = None) -> DataFrame:
     """``(c, o, bits, key)``: a row for each bucket of each row; ``bits`` has a bit for each letter of the one string and of the other."""
-    named = side.select("c", "o", "x", "y").mapInArrow(_bucket_names(bands, rows), "c bigint, o smallint, bits bigint, keys array<bigint>")
+    named = side.select("c", "o", "x", "y").mapInArrow(_bucket_names(bands, rows, some or range(bands)), "c bigint, o smallint, bits bigint, keys array<bigint>")
     return named.select("c", "o", "bits", F.explode("keys").alias("key"))
 
 
+def _by_key(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that share a key; never by broadcast, since the optimizer takes exploded keys for as small as the rows that they come from."""
+    return a.hint("merge").join(b, "key")
+
+
 #: Strings up to this many letters, both together, are met by what deletions leave of them; longer ones would leave too much.
 _LETTERS = 96
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _left(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the text, of what is left when one letter is deleted, and of what is left when two are."""
-    n = len(text)
-    codes = mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
-    power, head = np.ones(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+#: Keys made at once.
+_KEYS = 500_000
+
+
+def _left(texts: list[str], deleted: int) -> list[np.ndarray]:
+    """Hashes of texts of one length, of what is left when one letter is deleted, and so on up to ``deleted``, two at most; a row for each text."""
+    n, m = len(texts[0]), len(texts)
+    codes = mixed(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)).reshape(m, n)
+    power, head = np.cumprod(np.array([1] + [_BASE] * n, np.uint64)), np.zeros((m, n + 1), np.uint64)
     for k in range(n):
-        power[k + 1] = power[k] * _BASE
-        head[k + 1] = head[k] * _BASE + codes[k]
-    part = lambda i, j: head[j] - head[i] * power[j - i]
-    one = np.arange(n)
-    i, j = np.triu_indices(n, 1)
-    first = head[one] * power[n - 1 - one] + part(one + 1, n)
-    second = (head[i] * power[j - i - 1] + part(i + 1, j)) * power[n - 1 - j] + part(j + 1, n)
-    return head[n:], first, second
-
-
-def _deletion_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(c, keys)`` of (c, x, y): what is left when two letters or fewer are deleted from both strings together."""
+        head[:, k + 1] = head[:, k] * _BASE + codes[:, k]
+    part = lambda i, j: head[:, j] - head[:, i] * power[j - i]
+    one, end, out = np.arange(n), np.full(1, n), [head[:, n:]]
+    if deleted > 0:
+        out.append(head[:, one] * power[n - 1 - one] + part(one + 1, end))
+    if deleted > 1:
+        i, j = np.triu_indices(n, 1)
+        out.append((head[:, i] * power[j - i - 1] + part(i + 1, j)) * power[n - 1 - j] + part(j + 1, end))
+    return [mixed(h) for h in out]
+
+
+def _alike(*sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each combination of sizes, few enough at once that their keys fit."""
+    which, number = np.unique(np.stack(sizes, 1), axis=0, return_inverse=True)
+    order = np.argsort(number.ravel(), kind="stable")
+    ends = np.cumsum(np.bincount(number.ravel(), minlength=len(which)))
+    for size, begin, end in zip(which, [0, *ends], ends):
+        each = max(1, _KEYS // int(np.prod(size + 2) if len(size) > 1 else (size[0] + 2) ** 2))
+        yield from (order[k : min(k + each, end)] for k in range(begin, end, each))
+
+
+def _listed(keys: np.ndarray, kept: np.ndarray) -> pa.Array:
+    """The kept keys of each row."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept.sum(axis=1))]), pa.int32()), pa.array(keys[kept].view(np.int64)))
+
+
+def _deletion_keys(part: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(c, keys)`` of (c, x, y, kind): what is left when letters are deleted as the bits of ``kind`` say, one of ``parts`` parts of these keys.
+
+    The bits are: two letters of y at most, two of x, and one of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.array(batch.column(n).to_pylist(), object) for n in ("x", "y"))
+            nx, ny = (np.array([len(t) for t in side], np.int64) for side in (x, y))
+            kind = np.asarray(batch.column("kind"))
+            for bit, dx, dy, sizes in ((1, 0, 2, (ny,)), (2, 2, 0, (nx,)), (4, 1, 1, (nx, ny))):
+                of = np.flatnonzero(kind & bit)
+                for group in _alike(*(n[of] for n in sizes)) if len(of) else ():
+                    rows = of[group]
+                    a, b = (np.concatenate(_left(side[rows].tolist(), deleted), 1) if deleted else _whole(side[rows].tolist()) for side, deleted in ((x, dx), (y, dy)))
+                    made = mixed(a[:, :, None] * np.uint64(31) + b[:, None, :]).reshape(len(rows), -1)
+                    yield pa.RecordBatch.from_arrays([batch.column("c").take(pa.array(rows)), _listed(made, made % np.uint64(parts) == part)], names=["c", "keys"])
+
+    return run
+
+
+def _whole(texts: list[str]) -> np.ndarray:
+    """Hashes of texts of any length, as ``_left`` gives them first."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), 1), np.uint64)
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        out[own] = _left([texts[k] for k in own], 0)[0]
+    return out
+
+
+def _one_less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, in_e, in_t) with ``keys``: what is left of s when one letter is deleted or none."""
     for batch in batches:
-        held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        keys, sizes = [np.zeros(0, np.int64)], [0]
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            for s in (x, y):
-                if s not in held:
-                    held[s] = _left(s)
-            a, b = held[x], held[y]
-            both = [mixed(mixed(a[i])[:, None] * np.uint64(31) + b[j]).ravel() for i in range(3) for j in range(3 - i)]
-            made = np.unique(np.concatenate(both)).view(np.int64)
-            keys.append(made)
-            sizes.append(len(made))
-            if len(held) > 2000:
-                held.clear()
-        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(keys)))], names=["c", "keys"])
+        s = np.array(batch.column("s").to_pylist(), object)
+        for rows in _alike(np.array([len(t) for t in s], np.int64)) if len(s) else ():
+            made = np.concatenate(_left(s[rows].tolist(), 1), 1)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(rows)) for c in batch.columns], _listed(made, np.ones(made.shape, bool))], names=["s", "in_e", "in_t", "keys"])
+
+
+def _known_strings(e: DataFrame, t: DataFrame, name: str) -> DataFrame:
+    """``(s, shared, e_near, t_near)`` of the strings ``name`` of both sides: whether both have it, and whether the other side of e or of t has another one within an edit (or two)."""
+    sides = e.select(F.col(name).alias("s"), F.lit(True).alias("in_e"), F.lit(False).alias("in_t")).union(t.select(name, F.lit(False), F.lit(True)))
+    strings = sides.groupBy("s").agg(F.max("in_e").alias("in_e"), F.max("in_t").alias("in_t"))
+    keyed = strings.mapInArrow(_one_less, "s string, in_e boolean, in_t boolean, keys array<bigint>").select("s", "in_e", "in_t", F.explode("keys").alias("key"))
+    # Some strings share a key; all of them lie in one task, in turn.
+    of = lambda side, f: f(F.when(F.col(side), F.col("s"))).over(Window.partitionBy("key"))
+    met = keyed.withColumns({"e0": of("in_e", F.min), "e1": of("in_e", F.max), "t0": of("in_t", F.min), "t1": of("in_t", F.max)})
+    other = lambda side, low, high: F.coalesce(F.max(F.col(side) & ((F.col(low) != F.col("s")) | (F.col(high) != F.col("s")))), F.lit(False))
+    return cut_lineage(met.groupBy("s").agg(F.max(F.col("in_e") & F.col("in_t")).alias("shared"), other("in_e", "t0", "t1").alias("e_near"), other("in_t", "e0", "e1").alias("t_near")))
 
 
 def deletion_candidates(index: DataFrame, probe: DataFrame) -> DataFrame:
     """``(t, e)``: every pair of rows of ``probe`` and ``index``, each (c, x, y), within two edits, and some within four.
 
     Of strings within two edits two deletions on either side leave the same.
-    So candidates are near ones only, whatever the strings share.
+    So candidates are near ones only, whatever the strings share.  Two edits in
+    one string need the other string on both sides, one in each needs a near
+    string for both; a row has keys for what it may have only.  The keys meet
+    in parts, which bounds the disk that they take.
     """
+    e, t = (d.select("c", "x", "y") for d in (index, probe))
+    known = {n: _known_strings(e, t, n) for n in ("x", "y")}
+
+    def kinds(d: DataFrame, side: str) -> DataFrame:
+        for n, k in known.items():
+            d = d.join(k.select(F.col("s").alias(n), F.col("shared").alias(f"{n}_shared"), F.col(f"{side}_near").alias(f"{n}_near")), n)
+        bit = lambda c, b: F.when(c, b).otherwise(0)
+        kind = bit(F.col("x_shared"), 1) + bit(F.col("y_shared"), 2) + bit(F.col("x_near") & F.col("y_near"), 4)
+        return cut_lineage(d.select("c", "x", "y", kind.cast("smallint").alias("kind")).where("kind > 0"))
 
-    def keyed(d: DataFrame, c: str) -> DataFrame:
-        made = d.mapInArrow(_deletion_keys, "c bigint, keys array<bigint>")
+    def keyed(d: DataFrame, c: str, part: int) -> DataFrame:
+        made = d.mapInArrow(_deletion_keys(part, max(parts, 1)), "c bigint, keys array<bigint>")
         return made.select(F.col("c").alias(c), F.explode("keys").alias("key"))
 
-    e, t = (d.select("c", "x", "y") for d in (index, probe))
-    return keyed(e, "e").join(keyed(t, "t"), "key").select("t", "e").distinct()
+    e, t = kinds(e, "e"), kinds(t, "t")
+    parts = min(-(-(e.count() + t.count()) // PART_ROWS), DELETION_PARTS)
+    met = [cut_lineage(_by_key(keyed(e, "e", p), keyed(t, "t", p)).select("t", "e").distinct()) for p in range(max(parts, 1))]
+    return reduce(DataFrame.union, met).distinct()
 
 
 def band_candidates(index: DataFrame, probe: DataFrame, bands: int = 20, rows: int = 2, heavy: int = 250_000) -> DataFrame:
@@ -160,24 +250,30 @@ def band_candidates(index: DataFrame, probe: DataFrame, bands: int = 20, rows: i
 
     The rows of buckets of more than ``heavy`` candidates meet by what deletions
     leave of them instead, which loses no pair within two edits; those of very
-    long strings are taken as they are.
+    long strings are taken as they are.  Some bands are worked on at a time, so
+    that the rows of the others take no disk.
     """
-    ek, tk = (_banded(d, bands, rows) for d in (index, probe))
     seen = lambda d, n: _banded(d.where(F.pmod(F.xxhash64("c"), F.lit(SEEN)) == 0), bands, rows).groupBy("key").agg(F.count("*").alias(n))
     both = seen(index, "ne").join(seen(probe, "nt"), "key").where(F.col("ne") * F.col("nt") > heavy / SEEN**2)
     hot = cut_lineage(both.select("key"))
+    any_hot = not hot.isEmpty()
     # An edit takes one letter from the set at most and brings one at most.
     alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= 4
-    meet = lambda e, t: e.select("key", F.col("c").alias("e"), F.col("bits").alias("other")).join(t.select("key", F.col("c").alias("t"), "bits"), "key").where(alike).select("t", "e")
-    if hot.isEmpty():
-        return meet(ek, tk).distinct()
-    letters = F.length("x") + F.length("y")
-    # The keys of heavy buckets are few, as each has many rows; the optimizer broadcasts them while they are small.
-    in_hot = [cut_lineage(rows_.join(hot, "key").join(side.select("c", "o", letters.alias("letters")), ["c", "o"]).select("c", "o", "bits", "key", "letters")) for rows_, side in ((ek, index), (tk, probe))]
-    # A long string's partner has two letters fewer at least.
-    brief = [side.join(d.where(F.col("letters") <= _LETTERS).select("c", "o"), ["c", "o"], "left_semi") for d, side in zip(in_hot, (index, probe))]
-    long = [d.where(F.col("letters") > _LETTERS - 2) for d in in_hot]
-    found = [meet(*(d.join(hot, "key", "left_anti") for d in (ek, tk))), deletion_candidates(*brief), meet(*long)]
+    meet = lambda e, t: _by_key(e.select("key", F.col("c").alias("e"), F.col("bits").alias("other")), t.select("key", F.col("c").alias("t"), "bits")).where(alike).select("t", "e")
+    found = []
+    for part in range(BAND_PARTS):
+        some = range(bands * part // BAND_PARTS, bands * (part + 1) // BAND_PARTS)
+        sides = [_banded(d, bands, rows, some) for d in (index, probe) if some]
+        # The keys of heavy buckets are few, as each has many rows; the optimizer broadcasts them while they are small.
+        sides = [d.join(hot, "key", "left_anti") if any_hot else d for d in sides]
+        found += [cut_lineage(meet(*sides).distinct())] if some else []
+    if any_hot:
+        letters = F.length("x") + F.length("y")
+        # A long string's partner has two letters fewer at least.
+        briefs = [d.where(letters <= _LETTERS) for d in (index, probe)]
+        in_hot = [cut_lineage(_banded(d, bands, rows).join(hot, "key", "left_semi").select("c", "o").distinct()) for d in briefs]
+        found.append(deletion_candidates(*(cut_lineage(d.join(h, ["c", "o"], "left_semi")) for d, h in zip(briefs, in_hot))))
+        found.append(meet(*(_banded(d.where(letters > _LETTERS - 2), bands, rows).join(hot, "key", "left_semi") for d in (index, probe))))
     return reduce(DataFrame.union, found).distinct()
 
 
@@ -246,7 +342,7 @@ def exact_candidates(index: DataFrame, probe: DataFrame, short: int) -> DataFram
     # The order of one side is enough for a key that treats both strings alike.
     e1, t1 = (d.where(F.least(F.length("x"), F.length("y")) < short + 1) for d in (index, probe.where("o = 0")))
     e_half, t_half = _half_keys(e1, False), _half_keys(t1, True)
-    met = [e.withColumnRenamed("c", "e").join(t.withColumnRenamed("c", "t"), "key").select("t", "e") for e, t in ((e_eq, t_eq), (e_half, t_half))]
+    met = [_by_key(e.withColumnRenamed("c", "e"), t.withColumnRenamed("c", "t")).select("t", "e") for e, t in ((e_eq, t_eq), (e_half, t_half))]
     return reduce(DataFrame.union, met).distinct()
 
 
@@ -263,7 +359,7 @@ def near_classes(classes: DataFrame, short: int = 10, **banding: int) -> DataFra
     pairs = band_candidates(both(index), one(probe), **banding)
     brief = lambda d: d.where(F.least(F.length("a"), F.length("b")) < short + 2)
     if not brief(classes).isEmpty():
-        pairs = pairs.union(exact_candidates(both(brief(index)), both(brief(probe)), short)).distinct()
+        pairs = pairs.union(cut_lineage(exact_candidates(both(brief(index)), both(brief(probe)), short))).distinct()
     named = pairs.join(probe.select(F.col("c").alias("t"), F.col("a").alias("ta"), F.col("b").alias("tb")), "t").join(index.select(F.col("c").alias("e"), F.col("a").alias("ea"), F.col("b").alias("eb")), "e")
     straight = _distance(F.col("ta"), F.col("ea")) + _distance(F.col("tb"), F.col("eb"))
     crossed = _distance(F.col("ta"), F.col("eb")) + _distance(F.col("tb"), F.col("ea"))

@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from paronym.llm import cross_split
 from paronym.llm.cross_split import band_candidates, deletion_candidates, minwise, overlaps
+from paronym.session import cut_lineage
 
 
 def _edits(a, b):
@@ -119,3 +121,38 @@ def test_minwise_agrees_with_the_jaccard_similarity():
     least = minwise(texts, 2000, 1)
     assert abs((least[0] == least[1]).mean() - len(grams[0] & grams[1]) / len(grams[0] | grams[1])) < 0.05
     assert (minwise(["", "a"], 4, 1)[0] == minwise([""], 4, 1)[0]).all()
+
+
+def test_few_deletion_keys_for_a_hot_mark_and_the_same_candidates_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    names = [("hotmarkofmany", "casa" + _word(rng, 8)) for _ in range(300)] + [("hotmarkofmani", "butaxuvesetu"), ("otmarkofmany", "butaxuvesetu")]
+    near = [(_mutated(rng, x, i % 3), _mutated(rng, y, 2 - i % 3)) for i, (x, y) in enumerate(names)]
+    sides = _sides(spark, near, names)
+    made, keys = [], cross_split._deletion_keys
+
+    def counted(part, parts):
+        made.append(parts)
+        return keys(part, parts)
+
+    monkeypatch.setattr(cross_split, "_deletion_keys", counted)
+    whole = {tuple(r) for r in deletion_candidates(*sides).collect()}
+    assert set(made) == {1} and {(i, i) for i in range(302)} <= whole
+    monkeypatch.setattr(cross_split, "PART_ROWS", 100)
+    assert {tuple(r) for r in deletion_candidates(*sides).collect()} == whole and set(made) == {1, 4}
+
+
+def test_marks_with_near_marks_on_one_side_only_have_keys_for_no_edits_in_both(spark):
+    e, t = _sides(spark, [("hot", "butaxuve")], [("hot", "studiogi"), ("hat", "casa")])
+    known = {r.s: tuple(r)[1:] for r in cross_split._known_strings(e, t, "x").collect()}
+    assert known == {"hot": (True, True, False), "hat": (False, False, True)}
+    assert all(not any(tuple(r)[1:]) for r in cross_split._known_strings(e, t, "y").collect())
+
+
+def test_a_written_table_leaves_no_shuffle_files_and_no_setting(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: sum(1 for f in status.getAllFiles().mkString("\n").split("\n") if f.endswith(".data"))
+    held = count()
+    cut_lineage(spark.range(1000).repartition(3, "id"))
+    assert count() <= held and spark.conf.get(name) == before
