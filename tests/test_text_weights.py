@@ -114,3 +114,26 @@ def test_stems_of_descriptions_need_no_join(spark):
     made = ft.with_stems(spark.createDataFrame([("roupas; bolsas", ""), ("", "12; roupas roupas")], "spec_a string, spec_b string"), FITTED)
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.sa_toks, r.sb_toks) for r in made.collect()] == [([stem("roupas"), stem("bolsas")], []), ([], [stem("roupas")] * 2)]
+
+
+def test_cosines_of_hashed_vectors_make_no_vector_column(spark):
+    from functools import partial
+
+    from paronym.functions.arrow import gram_vector, gram_vectors, hashed_vector
+
+    texts = ["", "  ", "a", "botas", " botas de couro ", "ção 𝒳y", "x" * 300, "\ud800z", *(f"marca {i}" for i in range(40))]
+    assert (gram_vectors(texts, 64) == [gram_vector(t, 64) for t in texts]).all()
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(texts[:7] + [None], texts[1:7] + ["botas", "a"]))], "pair_id int, a string, b string")
+    for unit in (False, True):
+        own = ft._vector_cosines(df, hashed_vector, F.col("a"), F.col("b"), "c", "n", unit)
+        assert "array" not in own._jdf.queryExecution().optimizedPlan().toString()
+        other = ft._vector_cosines(df, partial(hashed_vector), F.col("a"), F.col("b"), "c", "n", unit)
+        found, known = ({r.pair_id: (r.c, r.n) for r in d.collect()} for d in (own, other))
+        assert set(found) == set(known) and all(found[i] == pytest.approx(known[i], abs=1e-6) for i in known)
+
+
+def test_words_of_a_text_are_found_once(spark):
+    df = spark.createDataFrame([("Casa de ção 21 x",), ("casa",), ("",), (None,)], "t string")
+    made = df.select(lk.word_terms("t").alias("w"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r.w for r in made.collect()] == [["casa", "de", "ção", "21", "casa de", "de ção", "ção 21"], ["casa"], [], None]
